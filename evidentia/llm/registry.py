@@ -2,8 +2,12 @@
 
 from evidentia.llm.fingerprint import op6_fingerprints
 from evidentia.llm.preference import OP8_SQL, op8_preference_formatting
+from evidentia.llm.token_counts import op5_token_counts
+from evidentia.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
+    "op5_token_counts": op5_token_counts,
     "op6_fingerprints": op6_fingerprints,
     "op8_preference_formatting": op8_preference_formatting,
 }
