@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 
@@ -114,7 +115,7 @@ class Vocabulary:
         codes (words, positions) holds 0 behind a word's end, and for characters outside the alphabet.
         """
         n, t = codes.shape
-        most = min(self.longest, t)
+        most = max(1, min(self.longest, t))
         out = np.full((n, t, most), NONE, np.int32)
         row, at = np.nonzero(codes)
         node = np.zeros(len(row), np.int64)
@@ -133,6 +134,24 @@ class Vocabulary:
         return out
 
 
+@lru_cache(maxsize=2)
+def vocabulary(model: bytes) -> Vocabulary:
+    """The vocabulary of a model file; a Python worker builds it once."""
+    return Vocabulary(model)
+
+
+def slices(texts: Sequence[str], most: int = 1_000_000) -> Iterator[slice]:
+    """Slices of about most characters, one text at least."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > most:
+            yield slice(start, i)
+            start, held = i, 0
+        held += len(t)
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 class Batch:
     """Words of like length with their edges: ids (n, t, l), lengths (n,), and the characters spelt by bytes."""
 

@@ -26,10 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evidentia.llm.common import remainder, staged, table
-from evidentia.llm.lattice import MODEL_FILE, SPACE, Vocabulary, expectations, likelihoods
+from evidentia.llm.lattice import MODEL_FILE, SPACE, expectations, likelihoods, vocabulary
 
 ALPHA, ROUNDS, HEAVY, FOLDS = 1000.0, 3, 1 / 40_000, 10
 #: Added to every piece's expected count.
@@ -78,14 +80,14 @@ def fit_pieces(words: DataFrame, model: bytes, rounds: int = ROUNDS) -> np.ndarr
     """
     sc = words.sparkSession.sparkContext
     shared = sc.broadcast(model)
-    vocab = Vocabulary(model)
+    vocab = vocabulary(model)
     scores = vocab.rank_scores()
     live = np.isfinite(scores)
     for _ in range(rounds):
         now = sc.broadcast(scores)
 
         def run(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            v, got = Vocabulary(shared.value), 0.0
+            v, got = vocabulary(shared.value), 0.0
             for x in batches:
                 got = got + expectations(v, now.value, _spelt(x["word"]), np.ones(len(x)))
             at = np.flatnonzero(got)
@@ -121,7 +123,7 @@ def score_documents(docs: DataFrame, vocabulary_file: str = MODEL_FILE, alpha: f
     shared = spark.sparkContext.broadcast((model, pieces))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab = Vocabulary(shared.value[0])
+        vocab = vocabulary(shared.value[0])
         for x in batches:
             x["lattice"] = likelihoods(vocab, shared.value[1], _spelt(x["word"]))
             yield x
@@ -135,20 +137,30 @@ def score_documents(docs: DataFrame, vocabulary_file: str = MODEL_FILE, alpha: f
     total = priced.agg(F.sum("n").alias("n")).first()["n"] or 0
     heavy = priced.where(F.col("n") >= max(1.0, HEAVY * total)).select("word", "c", "lattice", "log_p").collect()  # 1 / HEAVY rows at most
     known = spark.sparkContext.broadcast({bytes(r["word"]): (r["c"], r["lattice"], r["log_p"]) for r in heavy})
-    floor = 0.1 / (n + 0.1 * (v + 1))
     end_base = math.log10((ends + 0.1) / (n + 0.1 * (v + 1)))
     stop = (ends + 0.5) / (n + 1)
     scale = n + 0.1 * (v + 1)
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table_ = known.value
+    columns = ["uid", "doc_id", "word", "k", "n_tokens", "n_known", "base", "lattice", "urn"]
+    kind = docs.schema["doc_id"].dataType
+    schema = f"uid long, doc_id {kind.simpleString()}, word binary, k long, n_tokens long, n_known long, base double, lattice double, urn double"
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document with what the heavy words give, and one for each other word of it."""
+        held = known.value
+
+        def out(cells: list[tuple], names: list[str]) -> pa.RecordBatch:
+            got = dict(zip(names, zip(*cells, strict=True), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) if f.name in got else pa.nulls(len(cells), f.type) for f in arrow], schema=arrow)
+
         for x in batches:
             heads, rest = [], []
-            for uid, doc, text in zip(x["uid"], x["doc_id"], x["text"], strict=True):
+            for uid, doc, text in zip(*(x.column(i).to_pylist() for i in range(3)), strict=True):
                 words = tokens(text)
                 m, base, lattice, urn, seen = len(words), end_base, 0.0, 0.0, int(ends > 0)
                 for w, k in Counter(words).items():
-                    hit = table_.get(w)
+                    hit = held.get(w)
                     if hit is None:
                         rest.append((uid, w, k))
                         continue
@@ -159,27 +171,20 @@ def score_documents(docs: DataFrame, vocabulary_file: str = MODEL_FILE, alpha: f
                     seen += k * (c > 0)
                 fixed = math.log(stop) + m * math.log1p(-stop)
                 heads.append((uid, doc, m + 1, seen, base, lattice + fixed, urn + fixed - (math.lgamma(alpha + m) - math.lgamma(alpha))))
-            out = pd.DataFrame(heads, columns=["uid", "doc_id", "n_tokens", "n_known", "base", "lattice", "urn"])
-            out["doc_id"] = out["doc_id"].astype(x["doc_id"].dtype)
-            yield out
+                if len(rest) >= 100_000:
+                    yield out(rest, ["uid", "word", "k"])
+                    rest = []
             if rest:
-                yield pd.DataFrame(rest, columns=["uid", "word", "k"]).reindex(columns=["uid", "doc_id", "word", "k", "n_tokens", "n_known", "base", "lattice", "urn"])
-
-    schema = f"uid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, word binary, k long, n_tokens long, n_known long, base double, lattice double, urn double"
-
-    def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in weigh(batches):
-            y = x.reindex(columns=["uid", "doc_id", "word", "k", "n_tokens", "n_known", "base", "lattice", "urn"])
-            for c in ("doc_id", "k", "n_tokens", "n_known"):
-                y[c] = y[c].astype("Int64") if y[c].dtype != object or y[c].isna().all() else y[c]
-            yield y
+                yield out(rest, ["uid", "word", "k"])
+            if heads:
+                yield out(heads, [c for c in columns if c not in ("word", "k")])
 
-    parts = staged(rows.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "text").mapInPandas(shaped, schema), "parts")
+    parts = staged(rows.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "text").mapInArrow(weigh, schema), "parts")
     rare = parts.where("word IS NOT NULL").select("uid", "word", "k").join(priced.select("word", "c", "lattice", "log_p"), "word")
     start = F.exp("log_p") * alpha
     more = F.aggregate(F.sequence(F.lit(1), F.col("k") - 1), F.lit(0.0), lambda s, j: s + F.log(start + j))
     urn = F.log(F.lit(alpha)) + F.col("log_p") + F.when(F.col("k") > 1, more).otherwise(F.lit(0.0))
-    rest = rare.select("uid", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"),
+    rest = rare.select("uid", F.lit(None).cast(kind).alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"),
                        F.when(F.col("c") > 0, F.col("k")).otherwise(0).alias("n_known"),
                        (F.col("k") * F.log10((F.col("c") + 0.1) / scale)).alias("base"), (F.col("k") * F.col("lattice")).alias("lattice"), urn.alias("urn"))
     heads = parts.where("word IS NULL").select(*rest.columns)

@@ -3,10 +3,12 @@
 from evidentia.llm.fingerprint import op6_fingerprints
 from evidentia.llm.lm_score import op3_lm_scoring
 from evidentia.llm.preference import OP8_SQL, op8_preference_formatting
+from evidentia.llm.sentencepiece_scan import op2_sentencepiece
 from evidentia.llm.token_counts import op5_token_counts
 from evidentia.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
