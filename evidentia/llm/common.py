@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -57,3 +58,25 @@ def _delete(spark: SparkSession, path: str) -> None:
 def remainder(column: str, n: int) -> F.Column:
     """crc32 of a column's text, modulo n; a null counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
+
+
+def bounded_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """The first most rows by a hash of the key columns, then the keys; all rows if there are no more.
+
+    Only rows below a hash bound, about twice as many as wanted, reach the final sort: the bound follows from the count.
+    """
+    n = df.count()
+    h = F.pmod(F.xxhash64(F.lit(17), *keys), F.lit(1 << 40))
+    near = df if n <= most else df.where(h < int((1 << 40) * min(1.0, (2 * most + 1000) / n)))
+    return near.orderBy(h, *keys).limit(most)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds uid, a number of the row. The same at every read for a plain read of files, as their splits are; stage anything else first."""
+    return df.withColumn("uid", F.monotonically_increasing_id())
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -1,6 +1,7 @@
 """Queries and SQL of this package, for the registry."""
 
 from evidentia.llm.fingerprint import op6_fingerprints
+from evidentia.llm.line_dedup import op7_line_dedup
 from evidentia.llm.lm_score import op3_lm_scoring
 from evidentia.llm.preference import OP8_SQL, op8_preference_formatting
 from evidentia.llm.sentencepiece_scan import op2_sentencepiece
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_fingerprints": op6_fingerprints,
+    "op7_line_dedup": op7_line_dedup,
     "op8_preference_formatting": op8_preference_formatting,
 }
 SQL = {"op8_preference_formatting": OP8_SQL}
