@@ -3,6 +3,7 @@
 from evidentia.llm.fingerprint import op6_fingerprints
 from evidentia.llm.line_dedup import op7_line_dedup
 from evidentia.llm.lm_score import op3_lm_scoring
+from evidentia.llm.near_dedup import op9_near_dedup
 from evidentia.llm.preference import OP8_SQL, op8_preference_formatting
 from evidentia.llm.sentencepiece_scan import op2_sentencepiece
 from evidentia.llm.token_counts import op5_token_counts
@@ -16,5 +17,6 @@ QUERIES = {
     "op6_fingerprints": op6_fingerprints,
     "op7_line_dedup": op7_line_dedup,
     "op8_preference_formatting": op8_preference_formatting,
+    "op9_near_dedup": op9_near_dedup,
 }
 SQL = {"op8_preference_formatting": OP8_SQL}
