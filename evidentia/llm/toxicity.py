@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidentia.llm.common import remainder, table
+from evidentia.llm.common import bounded_sample, remainder, table
 
 #: Labelled documents a model is fitted on at most (a hash order picks them), and words it may weigh.
 TRAIN_DOCS, VOCABULARY = 6000, 30_000
@@ -51,24 +51,20 @@ class _Weighed(dict):
         return got
 
 
-def _bags(texts: list[str]) -> list[list[set[str]]]:
-    return [[features(s) for s in _SENTENCE.findall(t)] for t in texts]
-
-
 def fit(texts: list[str], labels: np.ndarray) -> tuple[list[str], np.ndarray, float]:
     """Words with nonzero weights, the weights, and the bias, by proximal adaptive gradients on the bag likelihood."""
-    bags = _bags(texts)
-    spread = Counter(w for b in bags for w in set().union(*b))
+    spread = Counter(f for t in texts for f in features(t))
     words = [w for w, n in sorted(spread.items(), key=lambda x: (-x[1], x[0])) if n >= max(3, SPREAD * len(texts))][:VOCABULARY]
     ids = {w: i for i, w in enumerate(words)}
+    known = _Weighed(dict(ids))
     doc, sentence, word = [], [], []
     at = 0
-    for d, bag in enumerate(bags):
-        for s in bag:
+    for d, t in enumerate(texts):
+        for s in _SENTENCE.findall(t):
             doc.append(d)
-            known = [ids[w] for w in s if w in ids]
-            word.append(np.array(known, np.int32))
-            sentence.append(np.full(len(known), at, np.int32))
+            found = np.array(sorted({ids[f] for v in _WORD.findall(s.lower()) for f in known[v]}), np.int32)
+            word.append(found)
+            sentence.append(np.full(len(found), at, np.int32))
             at += 1
     doc = np.array(doc, np.int64)
     word = np.concatenate(word) if word else np.zeros(0, np.int32)
@@ -93,15 +89,16 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[list[str], np.ndarray, fl
     return [words[i] for i in keep], w[keep], float(b)
 
 
-def train(labelled: DataFrame, max_docs: int = TRAIN_DOCS) -> DataFrame:
-    """model(words, weights, bias), one row, from labelled(doc_id, text, label).
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> DataFrame:
+    """model(words, weights, bias), one row, from docs(doc_id, text) and labels(doc_id, label).
 
-    Fits on at most max_docs rows, the first by a hash of doc_id and text; null labels take no part.
-    The fit runs in one executor task over this bounded sample. Without rows the
-    model has no words.
+    Fits on at most max_docs labelled documents, the first by a hash of their labels' doc_id; null ids and labels take no part.
+    Only these labels, at most max_docs rows, are broadcast to the documents, and the fit runs in one executor task
+    over this bounded sample. Without rows the model has no words.
     """
-    sample = labelled.where(F.col("label").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), "label", F.xxhash64("doc_id", "text").alias("h")) \
-        .orderBy("h", "text", "label").limit(max_docs)
+    picked = bounded_sample(labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "label"), max_docs, "doc_id", "label")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    sample = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "label").limit(max_docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts, labels = [], []
@@ -120,7 +117,7 @@ def score(docs: DataFrame, model: DataFrame, carry: list[str]) -> DataFrame:
     Null and empty texts score 0. The model (at most VOCABULARY words) is sent to each task.
     """
     row = model.first()
-    weigh, bias = dict(zip(row["words"], row["weights"], strict=True)), row["bias"]
+    weigh, bias = (dict(zip(row["words"], row["weights"], strict=True)), row["bias"]) if row else ({}, FIRST_BIAS)
     shared = docs.sparkSession.sparkContext.broadcast(weigh)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     schema = f"{kept}, score double, offending array<struct<start:int,end:int,score:double>>"
@@ -151,15 +148,14 @@ def score(docs: DataFrame, model: DataFrame, carry: list[str]) -> DataFrame:
     return docs.select(*carry, F.coalesce("text", F.lit("")).alias("__text")).mapInPandas(run, schema)
 
 
-def labelled_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, folds: int = 5) -> DataFrame:
-    """Documents with their toxic label, without the held-out fold."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(remainder("doc_id", folds) != 0)
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+def toxic_labels(spark: SparkSession, sf_dir: str, folds: int = 5) -> DataFrame:
+    """doc_id and toxic label, without the held-out fold."""
+    return table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(remainder("doc_id", folds) != 0)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every whole text, learned from labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = score(docs, train(labelled_documents(spark, docs, sf_dir)), ["doc_id"])
+    got = score(docs, train(docs, toxic_labels(spark, sf_dir)), ["doc_id"])
     return got.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
