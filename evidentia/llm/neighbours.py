@@ -2,12 +2,16 @@
 
 Every tree splits space by hyperplanes between two sampled points of a node, at the median
 of the sample's projections, to one depth. Every vector is indexed in a leaf of each tree. A
-query walks all trees through one shared priority queue: the branch with the widest worst margin is taken
-next, until the leaves taken hold enough vectors. The candidates of these leaves are reranked by the exact
-inner product of the original vectors in double precision.
+query walks all trees through one shared priority queue: the branch with the smallest margin
+against it is taken next, until the leaves taken hold enough vectors. The candidates in these
+leaves are reranked by the exact inner product of the original vectors in double precision.
 
 Largest inner product is turned into nearest direction by one added coordinate,
 sqrt(M^2 - |v|^2), with M the largest norm of all vectors; for queries it is 0.
+
+Copies of one vector tie for every query, and ties go to smaller ids, so the index holds of each
+distinct vector only its k + 1 smallest ids: the result is the same, and a vector that fills a third of
+the table is no hot leaf.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from evidentia.llm.common import staged, table
+from evidentia.llm.common import bounded_sample, drop_staged, staged, table
 
-#: Rows the splits are fitted on at most (by hash order), trees, rows of a leaf aimed at,
-#: share of all vectors that a query's leaves hold, and rows of a leaf that meet queries in one task.
-SAMPLE, TREES, LEAF, BLOCK = 32_768, 6, 128, 2048
-SHARE, LEAST = 0.12, 4000
+#: Rows the splits are fitted on at most (by hash order), trees, distinct vectors of a leaf aimed at,
+#: levels of leaves that meet queries together, and rows of such a group that meet them in one task.
+SAMPLE, TREES, LEAF, GROUP_LEVELS, BLOCK = 32_768, 4, 64, 5, 4096
+#: A query's leaves hold so large a share of all vectors, counted once per tree, as gave RECALL among the sample; LEAST vectors at least.
+SHARES, RECALL, LEAST, TRIED = (0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.7, 1.0), 0.95, 2000, 64
 
 
 def usable(vector: str) -> F.Column:
@@ -91,6 +96,22 @@ class Forest:
         return found
 
 
+def needed_share(forest: Forest, sample: np.ndarray, k: int) -> float:
+    """The first of SHARES at which TRIED queries from the sample find RECALL of their nearest among the sample."""
+    at = forest.leaves(sample)
+    counts = np.stack([np.bincount(at[:, t], minlength=1 << forest.depth) for t in range(forest.trees)])
+    tried = sample[:TRIED]
+    scores = tried @ sample.T
+    scores[np.arange(len(tried)), np.arange(len(tried))] = -np.inf
+    near = np.argsort(-scores, axis=1)[:, : min(k, len(sample) - 1)]
+    for share in SHARES:
+        hits = [np.any([np.isin(at[near[i], t], [a for u, a in path if u == t]) for t in range(forest.trees)], axis=0).mean() if near.shape[1] else 1.0
+                for i, path in enumerate(forest.search(tried, counts, int(forest.trees * share * len(sample))))]
+        if np.mean(hits) >= RECALL:
+            return share
+    return 1.0
+
+
 def lifted(x: np.ndarray, top: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(0.0, top**2 - (x**2).sum(1, keepdims=True)))])
 
@@ -103,86 +124,115 @@ def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> list[pd.DataFrame]:
-    """Each query's k nearest of v, its own id left out; ties go to the smaller id."""
-    out = []
-    rough = q @ v.T
-    for i in range(len(q)):
-        keep = np.flatnonzero(v_ids != q_ids[i])
-        if len(keep) > k:
-            r = rough[i, keep]
-            keep = keep[r >= np.partition(r, len(r) - k)[len(r) - k] - 1e-9 * (1 + abs(r).max())]
-        s = exact_scores(q[i], v[keep])
-        order = np.lexsort((v_ids[keep], -s))[:k]
-        out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": v_ids[keep][order], "score": s[order]}))
-    return out
+def best(q_id: int, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k nearest of v, the query's own id left out; ties go to the smaller id. rough: scores but for rounding."""
+    keep = np.flatnonzero(v_ids != q_id)
+    if len(keep) > k:
+        r = rough[keep]
+        keep = keep[r >= np.partition(r, len(r) - k)[len(r) - k] - 1e-9 * (1 + abs(r).max())]
+    s = exact_scores(q, v[keep])
+    order = np.lexsort((v_ids[keep], -s))[:k]
+    return v_ids[keep][order], s[order]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = SHARE, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float | None = None, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for queries(vec_id, embedding) in vectors(vec_id, embedding).
 
     Ties go to the smaller vec_id; a query's own id is no candidate. Vectors that are null, empty, zero, or hold null or
     non-finite components take no part on either side, nor do null ids; repeated rows of one id count once. All
     vectors must have one length. Fewer candidates than k give fewer rows; empty tables give none.
 
+    share: what part of all vectors a query's leaves hold, counted once per tree; None: as much as RECALL needs among the sample.
     The splits are fitted on SAMPLE rows at most; all rows are indexed. What is broadcast or collected has a fixed bound:
-    the sample, the forest, and the leaves' sizes (trees x 2^depth, depth at most 12). A leaf beyond BLOCK rows is cut into blocks by
-    hash, and its queries go to each, so a hot leaf (a large group of copies) is no single task.
+    the sample, the forest, and the leaves' sizes (trees x 2^depth, depth at most 12). Leaves under one node some levels up
+    meet their queries in one task; beyond BLOCK rows such a group is cut into blocks by hash, and its queries go to each.
     """
     spark = vectors.sparkSession
-    clean = lambda df: df.where(usable("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    v, q = clean(vectors), clean(queries)
+    clean = lambda df: df.where(usable("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    q = clean(queries)
+    same = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("vec_id")
+    v = staged(clean(vectors).withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy"), "vectors")
     schema = "query_id long, rank int, vec_id long, score double"
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     stats = v.agg(F.count("*").alias("n"), F.max(norm).alias("top")).first()
     if not stats["n"]:
         return spark.createDataFrame([], schema)
     n, top = stats["n"], math.sqrt(stats["top"]) * (1 + 1e-9)
-    rows = v.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    sample = np.array(rows["embedding"].tolist(), float)
+    sample = np.array(bounded_sample(v, SAMPLE, "vec_id").toPandas()["embedding"].tolist(), float)
     depth = max(0, min(12, round(math.log2(max(1, n / leaf))), int(math.log2(max(1, len(sample) / 8)))))
-    forest = spark.sparkContext.broadcast(Forest(sample, top, depth, trees, seed))
+    above = min(depth, GROUP_LEVELS)
+    built = Forest(sample, top, depth, trees, seed)
+    share = needed_share(built, sample, k) if share is None else share
+    forest = spark.sparkContext.broadcast(built)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             if len(x):
                 at = forest.value.leaves(np.array(x["embedding"].tolist(), float))
-                yield pd.DataFrame({"vec_id": x["vec_id"], "leaves": list(at)})
+                yield pd.DataFrame({"vec_id": x["vec_id"], "embedding": x["embedding"], "leaves": list(at)})
 
-    placed = staged(v.mapInPandas(place, "vec_id long, leaves array<int>"), "leaves")
-    sizes = placed.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect()
+    placed = staged(v.mapInPandas(place, "vec_id long, embedding array<double>, leaves array<int>"), "leaves")
+    drop_staged(v)
     counts = np.zeros((trees, 1 << depth), np.int64)
-    for t, at, c in sizes:
+    for t, at, c in placed.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():
         counts[t, at] = c
-    shared = spark.sparkContext.broadcast(counts)
+    blocks = -(-counts.reshape(trees, -1, 1 << above).sum(axis=2) // BLOCK)  # of each group of leaves
+    shared = spark.sparkContext.broadcast((counts, blocks))
     want = int(trees * max(LEAST, share * n))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, cut = shared.value
         for x in batches:
-            if len(x):
-                got = forest.value.search(np.array(x["embedding"].tolist(), float), shared.value, want)
-                x["path"] = [[{"tree": t, "leaf": at, "blocks": int(-(-shared.value[t, at] // BLOCK))} for t, at in g] for g in got]
-                yield x
-
-    asked = q.mapInPandas(walk, "vec_id long, embedding array<double>, path array<struct<tree:int,leaf:int,blocks:int>>") \
-        .select("vec_id", "embedding", F.explode("path").alias("p")) \
-        .select("vec_id", "embedding", "p.tree", "p.leaf", F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)).alias("block"))
-    blocks = F.ceil(F.element_at(F.array(*[F.lit(int(c)) for c in [0]]), 1))  # replaced below by the joined size
-    size_rows = spark.createDataFrame([(int(t), int(a), int(-(-c // BLOCK))) for t, a, c in sizes], "tree int, leaf int, blocks int")
-    held = placed.join(v, "vec_id").select("vec_id", "embedding", F.posexplode("leaves").alias("tree", "leaf")).join(F.broadcast(size_rows), ["tree", "leaf"]) \
-        .select("vec_id", "embedding", "tree", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"))
+            for i in range(0, len(x), 256):
+                y = x.iloc[i : i + 256]
+                out = []
+                for row, path in enumerate(forest.value.search(np.array(y["embedding"].tolist(), float), held, want)):
+                    taken: dict[tuple[int, int], list[int]] = {}
+                    for t, at in path:
+                        taken.setdefault((t, at >> above), []).append(at)
+                    out += [(y["vec_id"].iloc[row], y["embedding"].iloc[row], t, g, b, leaves) for (t, g), leaves in taken.items() for b in range(int(cut[t, g]))]
+                if out:
+                    yield pd.DataFrame(out, columns=["vec_id", "embedding", "tree", "part", "block", "leaves"])
+
+    asked = q.dropDuplicates(["vec_id"]).mapInPandas(walk, "vec_id long, embedding array<double>, tree int, part int, block int, leaves array<int>")
+    sizes = F.array(*[F.array(*[F.lit(int(c)) for c in row]) for row in blocks]) if blocks.size <= 1024 else None
+    held = placed.select("vec_id", "embedding", F.posexplode("leaves").alias("tree", "leaf")).withColumn("part", F.shiftright("leaf", above))
+    if sizes is not None:
+        held = held.withColumn("cut", F.get(F.get(sizes, F.col("tree")), F.col("part")))
+    else:
+        rows = [(t, g, int(c)) for (t, g), c in np.ndenumerate(blocks)]
+        held = held.join(F.broadcast(spark.createDataFrame(rows, "tree int, part int, cut int")), ["tree", "part"])
+    held = held.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.greatest("cut", F.lit(1))).cast("int")).drop("cut")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": [], "ids": [], "scores": []}).astype({"query_id": "int64", "ids": object, "scores": object})
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        right = right.drop_duplicates("vec_id")
-        qs, vs = (np.array(x["embedding"].tolist(), float) for x in (left, right))
-        return pd.concat(best(left["vec_id"].to_numpy(), qs, right["vec_id"].to_numpy(), vs, k))
-
-    key = ["tree", "leaf", "block"]
-    found = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            return empty
+        right = right.drop_duplicates("vec_id").sort_values("leaf")
+        ids, leaf_of = right["vec_id"].to_numpy(), right["leaf"].to_numpy()
+        vs = np.array(right["embedding"].tolist(), float)
+        out = []
+        for i in range(0, len(left), 512):
+            part = left.iloc[i : i + 512]
+            qs = np.array(part["embedding"].tolist(), float)
+            rough = qs @ vs.T
+            for j, (qid, leaves) in enumerate(zip(part["vec_id"], part["leaves"], strict=True)):
+                at = np.flatnonzero(np.isin(leaf_of, leaves))
+                if len(at):
+                    out.append((qid, *best(qid, qs[j], ids[at], vs[at], rough[j, at], k)))
+        return pd.DataFrame(out, columns=["query_id", "ids", "scores"]) if out else empty
+
+    key = ["tree", "part", "block"]
+    found = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(meet, "query_id long, ids array<long>, scores array<double>")
+
+    def merge(x: pd.DataFrame) -> pd.DataFrame:
+        ids, first = np.unique(np.concatenate(x["ids"].tolist()), return_index=True)
+        s = np.concatenate(x["scores"].tolist())[first]
+        order = np.lexsort((ids, -s))[:k]
+        return pd.DataFrame({"query_id": x["query_id"].iloc[0], "rank": np.arange(1, len(order) + 1), "vec_id": ids[order], "score": s[order]})
+
+    # a query gets k rows at most from each group of leaves: trees x 2^12 groups at most
+    return found.groupBy("query_id").applyInPandas(merge, schema)
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
