@@ -16,18 +16,20 @@ space mark loses nothing; words are then segmented once per task and remembered.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidentia.llm.common import staged, table
 from evidentia.llm.lattice import BYTES, MODEL_FILE, SPACE, Batch, best, slices, vocabulary
 
 #: Characters of a chunk; words and their segmentations that a task remembers.
-CHUNK, MEMORY = 16_384, 300_000
+CHUNK, MEMORY = 65_536, 200_000
 #: Stands in the marked text for a space mark that the original holds: it is spelt by bytes.
 LITERAL = "￿"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -45,8 +47,11 @@ class Encoder:
         self.vocab = vocabulary(model)
         self.scores = self.vocab.rank_scores() if scores is None else scores
         self.states = self.vocab.longest
-        self._known: dict[str, tuple[int, ...]] = {}
-        self.literal = {"0": tuple(self.vocab.byte_ids[list(SPACE.encode())].tolist()), "1": tuple(self.vocab.byte_ids[list(LITERAL.encode())].tolist())}
+        self._known: dict[str, bytes] = {}  # the ids as bytes of 32 bits each
+        self.literal = {"0": self.vocab.byte_ids[list(SPACE.encode())].tolist(), "1": self.vocab.byte_ids[list(LITERAL.encode())].tolist()}
+        self._bytes = [p.replace(SPACE, " ").encode() for p in self.vocab.pieces]
+        for b, i in enumerate(self.vocab.byte_ids):
+            self._bytes[i] = bytes([b])
 
     def words(self, text: str) -> list[str]:
         """Parts of a marked text between which no piece can lie."""
@@ -59,12 +64,12 @@ class Encoder:
             self._known.clear()
             new = sorted(words)
         plain = [w for w in new if LITERAL not in w]
-        self._known.update(zip(plain, best(self.vocab, self.scores, plain), strict=True))
+        self._known.update((w, np.array(ids, np.int32).tobytes()) for w, ids in zip(plain, best(self.vocab, self.scores, plain), strict=True))
         for w in new:
             if LITERAL in w:
-                self._known[w] = self._escaped(w)
+                self._known[w] = np.array(self._escaped(w), np.int32).tobytes()
 
-    def _escaped(self, word: str) -> tuple[int, ...]:
+    def _escaped(self, word: str) -> list[int]:
         out: list[int] = []
         for i, part in enumerate(word.split(LITERAL)):
             if i:
@@ -72,16 +77,16 @@ class Encoder:
                 part = part[1:]
             if part:
                 out.extend(best(self.vocab, self.scores, [part])[0])
-        return tuple(out)
+        return out
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of marked texts."""
         cut = [self.words(t) for t in texts]
         self.learn({w for c in cut for w in c})
-        return [[i for w in c for i in self._known[w]] for c in cut]
+        return [np.frombuffer(b"".join(map(self._known.__getitem__, c)), np.int32) for c in cut]
 
-    def score(self, ids: list[int]) -> float:
-        return float(self.scores[np.array(ids, np.int64)].sum()) if len(ids) else 0.0
+    def score(self, ids: np.ndarray | list[int]) -> float:
+        return float(self.scores[np.asarray(ids, np.int64)].sum()) if len(ids) else 0.0
 
     def _weights(self, text: str) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
         batch = Batch(self.vocab, [text], len(text))
@@ -125,23 +130,13 @@ class Encoder:
             at = start
         return out[::-1]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; byte pieces are joined as UTF-8, and the one space mark before the text goes."""
-        pieces, out, pending = self.vocab.pieces, [], bytearray()
-        byte_of = {int(i): b for b, i in enumerate(self.vocab.byte_ids)} if not hasattr(self, "_byte_of") else self._byte_of
-        self._byte_of = byte_of
-        for i in ids:
-            if (b := byte_of.get(i)) is not None:
-                pending.append(b)
-            else:
-                if pending:
-                    out.append(pending.decode("utf-8", "surrogatepass"))
-                    pending = bytearray()
-                out.append(pieces[i].replace(SPACE, " "))
-        if pending:
-            out.append(pending.decode("utf-8", "surrogatepass"))
-        text = "".join(out)
-        return text[1:] if text.startswith(" ") else text
+    def decoded_bytes(self, ids: np.ndarray | list[int]) -> bytes:
+        """UTF-8 of the text of ids, without the one space mark before the text."""
+        raw = b"".join(map(self._bytes.__getitem__, np.asarray(ids, np.int64).tolist()))
+        return raw[1:] if raw.startswith(b" ") else raw
+
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        return self.decoded_bytes(ids).decode("utf-8", "surrogatepass")
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,7 +170,7 @@ def cut_points(text: str, size: int) -> list[int]:
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, model_file: str = MODEL_FILE) -> DataFrame:
-    """key, n_chars, ids array<int>, score: the best segmentation of every text.
+    """key, n_chars, ids array<int>, score, decoded_sha256: the best segmentation of every text, and the hash of what it decodes to.
 
     Null and empty texts have the ids of a lone space mark. Of equally good segmentations of a word that with the longest
     last piece is taken. Repeated rows give repeated rows. Other columns are ignored.
@@ -189,16 +184,16 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     limit = chunk + chunk // 2
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model.value)
         for x in batches:
-            for part in slices(x["text"].tolist()):
-                y = x.iloc[part]
-                ids = encoder.encode_all([marked(t) for t in y["text"]])
-                yield pd.DataFrame({"key": y["key"].to_numpy(), "n_chars": y["text"].str.len().to_numpy(), "ids": ids, "score": [encoder.score(i) for i in ids]})
+            texts = x.column(1).to_pylist()
+            for part in slices(texts):
+                ids = encoder.encode_all([marked(t) for t in texts[part]])
+                yield _arrow(encoder, x.column(0).slice(part.start, part.stop - part.start), [len(t) for t in texts[part]], ids)
 
-    out = f"key {kind}, n_chars long, ids array<int>, score double"
-    short = rows.where(F.length("text") <= limit).mapInPandas(whole, out)
+    out = f"key {kind}, n_chars long, ids array<int>, score double, decoded_sha256 string"
+    short = rows.where(F.length("text") <= limit).mapInArrow(whole, out)
     long = rows.where(F.length("text") > limit)
     if long.isEmpty():
         return short.withColumnRenamed("key", key)
@@ -218,7 +213,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(model.value)
         for x in batches:
-            yield pd.DataFrame({"uid": x["uid"], "pos": x["pos"], "m": [shortcut(encoder, c, a)[0].ravel() for c, a in zip(x["chunk"], x["ahead"], strict=True)]})
+            for part in slices(x["chunk"].tolist()):
+                y = x.iloc[part]
+                encoder.learn({w for c in y["chunk"] for w in encoder.words(c)[1:-1]})
+                yield pd.DataFrame({"uid": y["uid"], "pos": y["pos"], "m": [shortcut(encoder, c, a)[0].ravel() for c, a in zip(y["chunk"], y["ahead"], strict=True)]})
 
     matrices = pieces.mapInPandas(transfer, "uid long, pos int, m array<double>")
 
@@ -228,19 +226,29 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int
         at, score = states([np.asarray(m).reshape(n, n) for m in x["m"]])
         return pd.DataFrame({"uid": x["uid"], "pos": x["pos"], "enter": at[:-1], "leave": at[1:], "score": score})
 
-    # a document's matrices are 2 KB for 16,384 characters: the longest string Spark can hold has 260 MB of them at most
+    # a document's matrices are 2 KB for each 65,536 characters: the longest string that Spark can hold has 64 MB of them
     ways = matrices.groupBy("uid").applyInPandas(scan, "uid long, pos int, enter int, leave int, score double")
 
     def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(model.value)
         for x in batches:
-            ids = [shortcut(encoder, c, a, (e, o))[1] for c, a, e, o in zip(x["chunk"], x["ahead"], x["enter"], x["leave"], strict=True)]
-            yield pd.DataFrame({"uid": x["uid"], "key": x["key"], "n_chars": x["n_chars"], "pos": x["pos"], "ids": ids, "score": x["score"]})
+            for part in slices(x["chunk"].tolist()):
+                y = x.iloc[part]
+                encoder.learn({w for c in y["chunk"] for w in encoder.words(c)[1:-1]})
+                ids = [shortcut(encoder, c, a, (e, o))[1] for c, a, e, o in zip(y["chunk"], y["ahead"], y["enter"], y["leave"], strict=True)]
+                yield pd.DataFrame({"uid": y["uid"], "key": y["key"], "n_chars": y["n_chars"], "pos": y["pos"], "ids": ids, "score": y["score"]})
 
     traced = pieces.join(ways, ["uid", "pos"]).mapInPandas(back, f"uid long, key {kind}, n_chars long, pos int, ids array<int>, score double")
     joined = traced.groupBy("uid").agg(F.max("key").alias("key"), F.max("n_chars").alias("n_chars"),
                                        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda s: s["ids"])).alias("ids"), F.max("score").alias("score"))
-    return short.unionByName(joined.drop("uid")).withColumnRenamed("key", key)
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(model.value)
+        for x in batches:
+            x["decoded_sha256"] = [hashlib.sha256(encoder.decoded_bytes(i)).hexdigest() for i in x["ids"]]
+            yield x
+
+    return short.unionByName(joined.select("key", "n_chars", "ids", "score").mapInPandas(digest, out)).withColumnRenamed("key", key)
 
 
 def shortcut(encoder: Encoder, chunk: str, ahead: str, way: tuple[int, int] | None = None) -> tuple[np.ndarray | None, list[int] | None]:
@@ -260,7 +268,7 @@ def shortcut(encoder: Encoder, chunk: str, ahead: str, way: tuple[int, int] | No
         first = shortcut_part(encoder, head, "", None)[0][:, 0]
         last = shortcut_part(encoder, tail, ahead, None)[0][0]
         return first[:, None] + encoder.score(encoder.encode_all([middle])[0]) + last[None, :], None
-    return None, shortcut_part(encoder, head, "", (way[0], 0))[1] + encoder.encode_all([middle])[0] + shortcut_part(encoder, tail, ahead, (0, way[1]))[1]
+    return None, shortcut_part(encoder, head, "", (way[0], 0))[1] + encoder.encode_all([middle])[0].tolist() + shortcut_part(encoder, tail, ahead, (0, way[1]))[1]
 
 
 def shortcut_part(encoder: Encoder, text: str, ahead: str, way: tuple[int, int] | None) -> tuple[np.ndarray | None, list[int] | None]:
@@ -273,7 +281,7 @@ def escaped_way(encoder: Encoder, text: str, ahead: str, way: tuple[int, int] |
     """As matrix or trace for a text with LITERAL escapes, at which every way stops: the parts between them are swept one by one."""
     parts = text.split(LITERAL)
     lone = [parts[0], *[p[1:] for p in parts[1:]]]
-    fixed = [list(encoder.literal[p[0]]) for p in parts[1:]]
+    fixed = [encoder.literal[p[0]] for p in parts[1:]]
     n = len(lone)
     if way is None:
         total = None
@@ -308,23 +316,17 @@ def decode(encoded: DataFrame, key: str = "doc_id", model_file: str = MODEL_FILE
     return encoded.select(F.col(key).alias("key"), "ids").mapInPandas(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def encoded_and_decoded(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
-    """doc_id, n_chars, n_tokens, ids, score, decoded_sha256 of docs(doc_id, text): the encoding, and the hash of the text that it decodes to."""
-    with open(model_file, "rb") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
-    got = encode(docs, model_file=model_file)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
+def _arrow(encoder: Encoder, keys: pa.Array, n_chars: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+    digests = [hashlib.sha256(encoder.decoded_bytes(i)).hexdigest() for i in ids]
+    return pa.RecordBatch.from_arrays([keys, pa.array(n_chars, pa.int64()), lists, pa.array([encoder.score(i) for i in ids], pa.float64()), pa.array(digests, pa.string())],
+                                      names=["key", "n_chars", "ids", "score", "decoded_sha256"])
 
-        encoder = Encoder(model.value)
-        for x in batches:
-            x["n_tokens"] = x["ids"].str.len()
-            x["decoded_sha256"] = [hashlib.sha256(encoder.decode(i).encode("utf-8", "surrogatepass")).hexdigest() for i in x["ids"]]
-            yield x[["doc_id", "n_chars", "n_tokens", "ids", "score", "decoded_sha256"]]
 
-    return got.mapInPandas(run, f"doc_id {kind}, n_chars long, n_tokens long, ids array<int>, score double, decoded_sha256 string")
+def encoded_and_decoded(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
+    """doc_id, n_chars, n_tokens, ids, score, decoded_sha256 of docs(doc_id, text): the encoding, and the hash of the text that it decodes to."""
+    return encode(docs, model_file=model_file).select("doc_id", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "score", "decoded_sha256")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
