@@ -33,7 +33,7 @@ def generate(questions: DataFrame, hits: DataFrame, complete: Callable[[str, str
                     out.append("")
             yield pd.Series(out)
 
-    reply = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(F.col("prompt"))
+    reply = F.pandas_udf(run, "string")(F.col("prompt"))
     got = asked.withColumn("reply", reply).withColumn("r", T.parse_reply(F.col("reply")))
     n = F.col("r.passage")
     given = (F.col("r.answer") != "") & (n >= 1) & (n <= F.size("h"))
