@@ -190,7 +190,7 @@ def _predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def calibration_bins(spark: SparkSession, sf: str) -> DataFrame:
-    return E.calibration_bins(_predictions(spark, sf)).withColumns({c: F.bround(c, 4) for c in ("mean_confidence", "accuracy")})
+    return E.calibration_bins(_predictions(spark, sf)).withColumns({c: F.round(c, 9) for c in ("mean_confidence", "accuracy")})
 
 
 def calibration_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,7 +224,7 @@ QUERIES = {
     "bootstrap_delta": (bootstrap_delta, BOOTSTRAP_SQL),
     "benchmark_report": (benchmark_report, REPORT_SQL),
     "latency_percentiles": (latency_percentiles, LATENCY_SQL),
-    "calibration_bins": (calibration_bins, BINS_SQL + " SELECT lower, upper, count, round_even(mc, 4) AS mean_confidence, round_even(ac, 4) AS accuracy FROM bn"),
+    "calibration_bins": (calibration_bins, BINS_SQL + " SELECT lower, upper, count, round(mc, 9) AS mean_confidence, round(ac, 9) AS accuracy FROM bn"),
     "calibration_summary": (calibration_summary, CALIBRATION_SQL),
     "risk_coverage": (risk_coverage, RISK_SQL),
 }
