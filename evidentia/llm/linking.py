@@ -43,30 +43,39 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def link(buckets: DataFrame, marks: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(buckets: DataFrame, marks: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """id and root of all items that are linked to another one.
 
     buckets(key, id): items that share a key are candidates. marks(id, mark): what near(mark, mark) decides by, once for each
-    item. verify(pairs(a, b)) returns the pairs that are links. Both must be symmetrical.
+    item. verify(pairs(a, b)) returns the pairs that are links. Both must be symmetrical. cross, if given, finds the links between
+    items of different roots from the open rows (key, id, root, main, mark) without a join of the pairs; main is a key's largest root.
+    A bucket's head is its member with most company over all its buckets: in a group of copies the one that most others are near to.
     """
-    heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = staged(buckets.join(heads, "key"), "buckets")
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = staged(buckets.join(sizes, "key"), "buckets")
     free(buckets.sparkSession)
+    company = shared.groupBy("id").agg(F.sum("n").alias("company"))
+    heads = shared.join(company, "id").groupBy("key").agg(F.max_by("id", F.struct("company", "id")).alias("head"))
 
     def tested(pairs: DataFrame) -> DataFrame:
         a = marks.select(F.col("id").alias("a"), F.col("mark").alias("_a"))
         b = marks.select(F.col("id").alias("b"), F.col("mark").alias("_b"))
         return verify(pairs.distinct().join(a, "a").join(b, "b").where(near(F.col("_a"), F.col("_b"))).select("a", "b"))
 
-    first = staged(tested(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))), "links")
+    met = shared.select("key", "id").join(heads, "key").where("id <> head")
+    first = staged(tested(met.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))), "links")
     roots = staged(components(first), "roots")
     rows = shared.where("n > 2").select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    crowd = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", "n").alias("main")).where("roots > 1")
+    crowd = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
     open_ = staged(rows.join(crowd.select("key", "main"), "key").join(marks, "id"), "open")
-    rest = open_.where("root <> main").select("key", F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("mark").alias("_mark"))
-    apart = open_.join(rest, "key").where((F.col("root") != F.col("_root")) & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("_id"))) & near(F.col("mark"), F.col("_mark")))
-    more = staged(verify(apart.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()), "links")
     drop_staged(shared)
+    free(buckets.sparkSession)
+    if cross:
+        more = staged(cross(open_), "links")
+    else:
+        rest = open_.where("root <> main").select("key", F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("mark").alias("_mark"))
+        apart = open_.join(rest, "key").where((F.col("root") != F.col("_root")) & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("_id"))) & near(F.col("mark"), F.col("_mark")))
+        more = staged(verify(apart.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()), "links")
     drop_staged(open_)
     if more.isEmpty():
         return roots
