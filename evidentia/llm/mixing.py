@@ -35,7 +35,7 @@ def domain(quality: Column, toxic: Column) -> Column:
 
 def n_tokens(text: Column) -> Column:
     """Runs of characters other than white space; null texts have none."""
-    return F.when(F.length(F.trim(text)) > 0, F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "))).otherwise(F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
 def with_features(docs: DataFrame) -> DataFrame:
@@ -88,19 +88,25 @@ def fit_classifier(labelled: DataFrame, domains: list[str]) -> tuple[list[float]
     return start, weights
 
 
-def posteriors(rows: DataFrame, start: list[float], weights: dict[str, list[float]]) -> Column:
-    """array<double> over the domains, of rows with _bins and _words. The features' table is a literal: at most WORDS and the bins."""
+def with_posteriors(rows: DataFrame, start: list[float], weights: dict[str, list[float]]) -> DataFrame:
+    """Adds p0, p1, .. over the domains to rows with _bins and _words. The features' table is a literal: at most WORDS and the bins.
+
+    The log-weights are a column of their own, so they are summed once for each row.
+    """
     row = lambda v: F.array(*[F.lit(x) for x in v])
-    if not weights:
-        total = sum(np.exp(start))
-        return row([float(np.exp(s) / total) for s in start])
-    known = F.array(*[F.lit(k.removeprefix("word:")) for k in weights if k.startswith("word:")]) if any(k.startswith("word:") for k in weights) else F.array().cast("array<string>")
-    held = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), row(v))])
-    found = F.concat("_bins", F.transform(F.array_intersect("_words", known), lambda w: F.concat(F.lit("word:"), w)))
-    none = row([0.0] * len(start))
-    logit = F.aggregate(found, row(start), lambda s, f: F.zip_with(s, F.coalesce(F.try_element_at(held, f), none), lambda a, b: a + b))
-    e = F.transform(logit, lambda x: F.exp(x - F.array_max(logit)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    if weights:
+        words = [k.removeprefix("word:") for k in weights if k.startswith("word:")]
+        known = F.array(*map(F.lit, words)).cast("array<string>")
+        held = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), row(v))])
+        found = F.concat("_bins", F.transform(F.array_intersect("_words", known), lambda w: F.concat(F.lit("word:"), w)))
+        none = row([0.0] * len(start))
+        logit = F.aggregate(found, row(start), lambda s, f: F.zip_with(s, F.coalesce(F.try_element_at(held, f), none), lambda a, b: a + b))
+    else:
+        logit = row(start)
+    rows = rows.withColumn("_logit", logit).withColumn("_most", F.array_max("_logit"))
+    rows = rows.withColumns({f"p{i}": F.exp(F.col("_logit")[i] - F.col("_most")) for i in range(len(start))})
+    total = reduce(lambda x, y: x + y, (F.col(f"p{i}") for i in range(len(start))))
+    return rows.withColumn("_sum", total).withColumns({f"p{i}": F.col(f"p{i}") / F.col("_sum") for i in range(len(start))}).drop("_logit", "_most", "_sum")
 
 
 def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], steps: int = STEPS) -> list[list[float]]:
@@ -143,43 +149,40 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], st
 
 
 def apply_rates(rate: Column, p: list[Column], vectors: list[list[float]]) -> Column:
-    """rate after projected steps along the vectors."""
-    for v in vectors:
-        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, (x * F.lit(c) for x, c in zip(p, v, strict=True))))
-    return rate
+    """rate after projected steps along the vectors. They are one literal, so all steps run the same generated code."""
+    if not vectors:
+        return rate
+    held = F.array(*[F.array(*map(F.lit, v)) for v in vectors])
+    return F.aggregate(held, rate, lambda r, v: F.greatest(F.lit(0.0), r - reduce(lambda a, b: a + b, (x * v[i] for i, x in enumerate(p)))))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_labelled: int = LABELLED) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_labelled: int = LABELLED, keep: list[str] | None = None) -> DataFrame:
     """docs with n_tokens, p_<domain> for each domain, rate and copies, from labels(doc_id, quality, toxic).
 
     copies is the rate's whole part, and one more with the chance of its fraction (by a hash of doc_id and text, so equal rows fare
     alike). Null and empty texts have no tokens and keep their rate. Null labels and ids don't teach; without labels the
     posteriors are equal. No shuffle of the documents: labels come to them as a broadcast of at most max_labelled rows.
+    keep: the columns of docs that are wanted (all, if not given). Every text is read into features once.
     """
     targets = TARGETS if targets is None else targets
     domains = sorted(targets)
     names = {"n_tokens", "rate", "copies", *(f"p_{k}" for k in domains)}
-    docs = docs.select(*[c for c in docs.columns if c not in names])
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
     given = labels.select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("domain")).where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains))
     picked = bounded_sample(given, max_labelled, "doc_id", "domain")
     labelled = with_features(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
     start, weights = fit_classifier(labelled, domains)
 
-    def placed(df: DataFrame) -> DataFrame:
-        rows = with_features(df)
-        rows = rows.withColumn("_p", posteriors(rows, start, weights)).withColumnRenamed("_tokens", "n_tokens")
-        return rows.select(*df.columns, "n_tokens", *[F.col("_p")[i].alias(f"p{i}") for i in range(len(domains))])
-
-    table_ = staged(placed(docs.select("text")).drop("text"), "posteriors")
-    vectors = fit_rates(table_, domains, targets)
-    drop_staged(table_)
     p = [F.col(f"p{i}") for i in range(len(domains))]
-    out = placed(docs).withColumn("rate", apply_rates(F.lit(1.0), p, vectors))
     u = F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
-    return out.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("long")).withColumnsRenamed({f"p{i}": f"p_{k}" for i, k in enumerate(domains)})
+    rows = with_features(docs.select(F.struct(*kept).alias("doc"), u.alias("u"), "text"))
+    rows = staged(with_posteriors(rows, start, weights).select("doc", "u", F.col("_tokens").alias("n_tokens"), *p), "posteriors")
+    vectors = fit_rates(rows.select("n_tokens", *p), domains, targets)
+    out = rows.withColumn("rate", apply_rates(F.lit(1.0), p, vectors))
+    copies = (F.floor("rate") + (F.col("u") < F.col("rate") - F.floor("rate")).cast("int")).cast("long")
+    return out.select("doc.*", "n_tokens", *[x.alias(f"p_{k}") for x, k in zip(p, domains, strict=True)], "rate", copies.alias("copies"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posteriors, rate and copies of every document."""
-    got = mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return got.drop("text")
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), keep=["doc_id"])
