@@ -72,10 +72,15 @@ def bounded_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Adds uid, a number of the row. The same at every read for a plain read of files, as their splits are; stage anything else first."""
+    """Adds uid, a number of the row in one plan. Another scan can split files differently and number rows differently: use numbered_once if uid is joined with."""
     return df.withColumn("uid", F.monotonically_increasing_id())
 
 
+def numbered_once(df: DataFrame, name: str) -> DataFrame:
+    """Adds uid and writes it with the rows to the shared folder: the same at every read."""
+    return staged(numbered(df), name)
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()
