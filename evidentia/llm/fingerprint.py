@@ -5,19 +5,24 @@ fingerprint is the sum of these vectors, lane by lane, modulo powers of two. Sum
 depend on the order, and inserting or deleting a paragraph adds or subtracts its vector.
 
 Lanes: 1 counter of pieces (modulo 2^32), DENSE lanes that every paragraph adds 48 hashed bits
-to (equality), and SPARSE lanes. A paragraph's part in the sparse lanes is itself the sum over
-its sentences, each adding 32 hashed bits to one lane chosen by its hash, so two
-documents differ in about as many of them as they have sentences apart; linear counting turns
-the share of equal lanes into a likeness. DataFrame operations only.
+to (equality), and LEVELS groups of SPARSE lanes. A paragraph's part in the sparse lanes is itself the
+sum over its sentences, each adding 32 hashed bits to one lane chosen by its hash. Half of all
+sentences go to the first group, a quarter to the second, and so on. Two documents differ in
+about as many lanes as they have sentences apart while there are few of them; linear counting
+over the groups that aren't full turns the lanes that differ into a likeness. DataFrame operations only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from evidentia.llm.common import table
 
-DENSE, SPARSE = 4, 64
+DENSE, SPARSE, LEVELS = 4, 64, 12
+#: A group with more lanes apart is taken as full.
+FULL = 48
 _M32, _M48 = (1 << 32) - 1, (1 << 48) - 1
 BUCKETS, LEAST_WIDTH = 1 << 18, 1024
 
@@ -26,8 +31,15 @@ def _add(a: Column, b: Column, mask: int) -> Column:
     return (a + b).bitwiseAND(F.lit(mask))
 
 
+def _in_group(z: int) -> Callable[[Column], Column]:
+    """Whether a piece's hash belongs to group z: a share of 2^-(z + 1) of all, the last group takes the rest."""
+    last = z == LEVELS - 1
+    mask, bit = ((1 << z) - 1, 0) if last else ((2 << z) - 1, 1 << z)
+    return lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(mask)) == bit
+
+
 def vector(text: Column) -> Column:
-    """array<bigint> of 1 + DENSE + SPARSE lanes of a text (null: empty, all lanes 0)."""
+    """array<bigint> of 1 + DENSE + LEVELS * SPARSE lanes of a text (null: empty, all lanes 0)."""
     text = F.coalesce(text, F.lit(""))
     paragraphs = F.filter(F.split(text, "\n"), lambda p: F.length(F.trim(p)) > 0)
     pieces = F.filter(F.split(text, r"\n|(?<=[.!?])\s+"), lambda p: F.length(F.trim(p)) > 0)
@@ -35,14 +47,16 @@ def vector(text: Column) -> Column:
     hashed = F.transform(paragraphs, lambda p: F.array(*[F.xxhash64(F.lit(i), p).bitwiseAND(F.lit(_M48)) for i in range(DENSE)]))
     dense = F.aggregate(hashed, zeros(DENSE), lambda s, h: F.zip_with(s, h, lambda a, b: _add(a, b, _M48)))
     keys = F.transform(pieces, lambda p: F.xxhash64(F.lit(-1), p))
-    sparse = F.aggregate(keys, zeros(SPARSE), lambda s, h: F.transform(
-        s, lambda v, i: F.when(i == F.pmod(h, F.lit(SPARSE)), _add(v, F.shiftrightunsigned(h, 32), _M32)).otherwise(v)))
+    put = lambda s, h: F.transform(
+        s, lambda v, i: F.when(i == F.pmod(h, F.lit(SPARSE)), _add(v, F.shiftrightunsigned(h, 32), _M32)).otherwise(v))
+    groups = lambda ks: F.concat(*[F.aggregate(F.filter(ks, _in_group(z)), zeros(SPARSE), put) for z in range(LEVELS)])
+    sparse = F.element_at(F.transform(F.array(keys), groups), 1)  # as a lambda's argument, the keys are made once
     return F.concat(F.array(F.size(pieces).cast("long").bitwiseAND(F.lit(_M32))), dense, sparse)
 
 
 def added(fingerprint: Column, text: Column, sign: int = 1) -> Column:
     """The fingerprint after inserting (sign 1) or deleting (-1) the paragraphs of a text."""
-    masks = F.array(*[F.lit(m).cast("long") for m in [_M32] + [_M48] * DENSE + [_M32] * SPARSE])
+    masks = F.array(*[F.lit(m).cast("long") for m in [_M32] + [_M48] * DENSE + [_M32] * (LEVELS * SPARSE)])
     moved = F.zip_with(fingerprint, vector(text), lambda a, b: a + sign * b)
     return F.zip_with(moved, masks, lambda a, m: a.bitwiseAND(m))
 
@@ -55,16 +69,27 @@ def text_of(fingerprint: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: shared pieces over all pieces, estimated from the lanes that differ.
 
-    Equal fingerprints give 1. All sparse lanes apart give 0. With d of L lanes apart,
-    -L ln(1 - d/L) pieces are expected on one side only; with n pieces in both sums
-    together the likeness is (n - that) / (n + that).
+    Equal fingerprints give 1. With d of the L lanes of a group apart, -L ln(1 - d/L) of its pieces are expected on one
+    side only. The first group that isn't full and those after it hold 2^-j of all pieces. With n pieces in both sums
+    together and m of them on one side, the likeness is (n - m) / (n + m).
     """
-    lanes = F.zip_with(F.slice(a, 2 + DENSE, SPARSE), F.slice(b, 2 + DENSE, SPARSE), lambda x, y: F.when(x == y, 0).otherwise(1))
-    apart = F.aggregate(lanes, F.lit(0), lambda s, x: s + x).cast("double")
-    one_side = -SPARSE * F.log(1 - F.least(apart, F.lit(SPARSE - 0.5)) / SPARSE)
-    n = (F.element_at(a, 1) + F.element_at(b, 1)).cast("double")
-    got = F.when(apart >= SPARSE, 0.0).when(n <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), (n - one_side) / (n + one_side)))
-    return F.when(a == b, 1.0).otherwise(F.least(got, F.lit(1.0)))
+    def estimate(a: Column, b: Column) -> Column:
+        def apart(z: Column) -> Column:
+            at = 2 + DENSE + z * SPARSE
+            return F.aggregate(F.zip_with(F.slice(a, at, F.lit(SPARSE)), F.slice(b, at, F.lit(SPARSE)), lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
+
+        def one_side(ds: Column) -> Column:
+            first = F.array_position(F.transform(ds, lambda d: d <= FULL), True)
+            first = F.when(first > 0, first.cast("int")).otherwise(LEVELS)
+            counts = F.transform(F.slice(ds, first, F.lit(LEVELS)), lambda d: -SPARSE * F.log(1 - F.least(d.cast("double"), F.lit(SPARSE - 0.5)) / SPARSE))
+            return F.aggregate(counts, F.lit(0.0), lambda s, x: s + x) * F.pow(F.lit(2.0), first - 1)
+
+        m = F.element_at(F.transform(F.array(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), apart)), one_side), 1)
+        n = (F.element_at(a, 1) + F.element_at(b, 1)).cast("double")
+        got = F.when(n <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), (n - m) / (n + m)))
+        return F.when(a == b, 1.0).otherwise(F.least(got, F.lit(1.0)))
+
+    return F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: estimate(s["a"], s["b"])), 1)
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
