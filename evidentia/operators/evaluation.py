@@ -74,7 +74,8 @@ def cases(facts: DataFrame, labels: DataFrame, most: int = CASES) -> DataFrame:
                                                                    F.lit(expectation).alias("expectation"), value.alias("expected_value"), F.lit(note).alias("note"))
     single = keys.where("n = 1")
     year = F.element_at(F.array(*[F.lit(y) for y in YEARS]), (F.crc32("key") % len(YEARS) + 1).cast("int"))
-    known = single.select("document_id", F.explode(V.years_of(F.col("period"))).alias("y")).where("false").distinct()  # instants name no year that a trap must avoid
+    # years of periods with a start and an end; an instant is no business year
+    known = single.where(~F.col("period").startswith("instant:")).select("document_id", F.explode(V.years_of(F.col("period"))).alias("y")).distinct()
     traps = sample(single, "key", "document_id", most // 2, "trap").withColumn("year", year.cast("string")).join(known.withColumnRenamed("y", "year"), ["document_id", "year"], "left_anti")
     foreign = foreign_labels(labels, facts).select("document_id", F.concat_ws("|", "concept", "label").alias("key"), "label").distinct()
     return (out(sample(single, "key", "document_id", most, "answer"), asked, "answer_from_ledger", F.col("value"), "answerable")
