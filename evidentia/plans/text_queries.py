@@ -91,7 +91,7 @@ LINES_SQL = "l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)
 
 
 def narrative_score(spark: SparkSession, sf: str) -> DataFrame:
-    """How like narrative the first lines of benchmark items are to every other item's wording as a label."""
+    """How like narrative the first lines of benchmark items are to labels: the first 40 letters of the items of its block of ten ids that are at most 3 ids away, itself included. No other pairs are scored."""
     b = table(spark, sf, "benchmark")
     one = b.select("item_id", F.concat(F.lit("Der Betrag stieg und war mit "), F.col("item_id").cast("string"), F.lit(" höher als "), F.col("text")).alias("s"))
     label = b.select(F.col("item_id").alias("label_id"), F.left("text", F.lit(40)).alias("label"))
