@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and the master is local."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="evidentia-"))
     return _OWN[0]
@@ -81,6 +83,20 @@ def numbered_once(df: DataFrame, name: str) -> DataFrame:
     return staged(numbered(df), name)
 
 
+def placed(docs: DataFrame, name: str) -> DataFrame:
+    """doc (a struct of all columns), file and row, which name a row alike in every scan, whatever its splits.
+
+    Rows read from Parquet are named by their file and their place in it; any others are numbered and written to the shared folder once.
+    """
+    node = docs._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.child()
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    if node.getClass().getSimpleName() == "LogicalRelation" and "parquet" in node.relation().toString().lower():
+        return docs.select(doc, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return staged(docs.select(doc, F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row")), name)
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()

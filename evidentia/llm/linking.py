@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidentia.llm.common import drop_staged, free, staged
@@ -83,3 +85,32 @@ def link(buckets: DataFrame, marks: DataFrame, near: Callable[[Column, Column],
     out = staged(components(more.unionByName(roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")))), "roots")
     drop_staged(roots)
     return out
+
+
+def open_pairs(open_: DataFrame, near: Callable, block: int = 2048) -> DataFrame:
+    """Distinct pairs(a < b) of ids of different roots in the rows(key, id long, root, main, mark) that share a key and whose marks are near (on numpy arrays).
+
+    A key's rows outside its main root meet all its rows, in blocks: no task holds more than two blocks of one key, and what is not near is never a row.
+    """
+    sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("root") != F.col("main")) / block).cast("int").alias("sides"))
+    rows = open_.join(sizes, "key")
+    few = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-open_.count() // block))))  # keys of one block share tasks
+    at, side = (F.pmod(F.xxhash64(F.lit(i), "id"), F.col(c)).cast("int") for i, c in enumerate(("blocks", "sides")))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    held = rows.withColumn("block", at).withColumn("side", every("sides")).withColumn("asks", F.lit(False))
+    asks = rows.where("root <> main").withColumn("side", side).withColumn("block", every("blocks")).withColumn("asks", F.lit(True))
+    task = F.when(F.col("blocks") * F.col("sides") == 1, few).otherwise(F.xxhash64("key", "block", "side"))
+
+    def meet(x: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in x.groupby("key", sort=False):
+            asking = g["asks"].to_numpy()
+            (qi, qr, qm), (vi, vr, vm) = ([g[c].to_numpy()[rows] for c in ("id", "root", "mark")] for rows in (asking, ~asking))
+            main = g["main"].iloc[0]
+            for i, r, m in zip(qi, qr, qm, strict=True):
+                hit = vi[(vr != r) & ((vr == main) | (vi < i)) & near(vm, m)]
+                out.append(np.stack([np.minimum(hit, i), np.maximum(hit, i)]))
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return held.unionByName(asks).select(task.alias("task"), "key", "id", "root", "main", "mark", "asks").groupBy("task").applyInPandas(meet, "a long, b long").distinct()
