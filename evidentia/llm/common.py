@@ -73,16 +73,6 @@ def bounded_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
     return near.orderBy(h, *keys).limit(most)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """Adds uid, a number of the row in one plan. Another scan can split files differently and number rows differently: use numbered_once if uid is joined with."""
-    return df.withColumn("uid", F.monotonically_increasing_id())
-
-
-def numbered_once(df: DataFrame, name: str) -> DataFrame:
-    """Adds uid and writes it with the rows to the shared folder: the same at every read."""
-    return staged(numbered(df), name)
-
-
 def placed(docs: DataFrame, name: str) -> DataFrame:
     """doc (a struct of all columns), file and row, which name a row alike in every scan, whatever its splits.
 
@@ -97,6 +87,17 @@ def placed(docs: DataFrame, name: str) -> DataFrame:
     return staged(docs.select(doc, F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row")), name)
 
 
+def joined_hot(rows: DataFrame, table_: DataFrame, key: str, size: str, total: int, share: float = 0.001) -> DataFrame:
+    """rows left-joined with table_(key unique, size, ..) where some keys may hold a large part of the rows.
+
+    Keys whose size, their number of rows, is at least that share of the total are 1 / share at most: they come to the rows by
+    broadcast. All others meet in a shuffle.
+    """
+    hot = F.broadcast(staged(table_.where(F.col(size) >= max(2.0, share * total)), "hot"))
+    cold = table_.where(F.col(size) < max(2.0, share * total))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, "left"))
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()

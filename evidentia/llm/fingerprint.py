@@ -24,7 +24,8 @@ DENSE, SPARSE, LEVELS = 4, 64, 12
 #: A group with more lanes apart is taken as full.
 FULL = 48
 _M32, _M48 = (1 << 32) - 1, (1 << 48) - 1
-BUCKETS, LEAST_WIDTH = 1 << 18, 1024
+#: Ranges of ids at most (a power of two), and rows of a range that are aimed at.
+RANGES, ROWS = 1 << 14, 2048
 
 
 def _add(a: Column, b: Column, mask: int) -> Column:
@@ -42,7 +43,8 @@ def vector(text: Column) -> Column:
     """array<bigint> of 1 + DENSE + LEVELS * SPARSE lanes of a text (null: empty, all lanes 0)."""
     text = F.coalesce(text, F.lit(""))
     paragraphs = F.filter(F.split(text, "\n"), lambda p: F.length(F.trim(p)) > 0)
-    pieces = F.filter(F.split(text, r"\n|(?<=[.!?])\s+"), lambda p: F.length(F.trim(p)) > 0)
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, r"(?<=[.!?])\s+")))  # none runs across paragraphs, so their order doesn't matter
+    pieces = F.filter(sentences, lambda p: F.length(F.trim(p)) > 0)
     zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
     hashed = F.transform(paragraphs, lambda p: F.array(*[F.xxhash64(F.lit(i), p).bitwiseAND(F.lit(_M48)) for i in range(DENSE)]))
     dense = F.aggregate(hashed, zeros(DENSE), lambda s, h: F.zip_with(s, h, lambda a, b: _add(a, b, _M48)))
@@ -95,16 +97,26 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs(doc_id, *columns) with next_<column> of the next row by descending doc_id; after the last comes the first.
 
-    Rows of equal doc_id follow in order of the columns; null ids come last. Ids are cut into at
-    most BUCKETS ranges; each range is a window partition, and the first row of each range is also
-    sent to the range before it. Only the ranges' first ids are broadcast: BUCKETS rows at most.
+    Rows of equal doc_id follow in order of a hash of the columns; null ids come last. Ids are cut at approximate quantiles, so far-out
+    ids make no range large, null ids by their hashes. Each of at most 2 * RANGES ranges is a window partition, and the first row
+    of each range is also sent to the range before it. Only the ranges' bounds and first ids are broadcast.
     """
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, hi = (span["lo"] or 0, span["hi"] or 0)
-    width = max(LEAST_WIDTH, (hi - lo) // BUCKETS + 1)
-    slot = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("doc_id") - lo) / width)).cast("long")
+    n = docs.count()
+    parts = 1
+    while parts < RANGES and parts * ROWS < n:
+        parts *= 2
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 16 * parts).alias("cuts")).first()["cuts"] if parts > 1 else None
+    bounds = F.lit(cuts or []).cast("array<long>")
+    steps, half = [], parts // 2
+    while half:
+        steps.append(half)
+        half //= 2
+    # how many bounds are no larger than the id, by bisection
+    found = F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at)) if cuts else F.lit(0)
+    tie = F.xxhash64(*columns)
+    slot = F.when(F.col("doc_id").isNull(), F.shiftright(tie, 50) - RANGES).otherwise(found).cast("long")
     rows = docs.select("doc_id", *columns).withColumn("_slot", slot)
-    keyed = rows.withColumn("_tie", F.xxhash64(*columns))
+    keyed = rows.withColumn("_tie", tie)
     firsts = keyed.groupBy("_slot").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(0)).alias("_id"), "_tie")).alias("_first"))
     heads = firsts.withColumn("_to", F.coalesce(
         F.lag("_slot").over(Window.orderBy(F.desc("_slot"))), F.first("_slot").over(Window.orderBy("_slot")))) \

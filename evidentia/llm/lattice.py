@@ -219,35 +219,6 @@ def likelihoods(vocab: Vocabulary, scores: np.ndarray, words: Sequence[str]) ->
     return out
 
 
-def expectations(vocab: Vocabulary, scores: np.ndarray, words: Sequence[str], counts: np.ndarray) -> np.ndarray:
-    """Expected number of uses of every piece, each word taken counts times (forward-backward)."""
-    out = np.zeros(vocab.size)
-    for rows, batch in batches(vocab, words):
-        w = batch.weights(vocab, scores)
-        n, t, most = w.shape
-        alpha = forward(w)
-        beta = np.full((n, t + most + 1), -np.inf)
-        beta[np.arange(n), batch.lengths] = 0.0
-        with np.errstate(divide="ignore"):
-            for i in range(t - 1, -1, -1):
-                terms = w[:, i, :] + beta[:, i + 1 : i + 1 + most]
-                top = terms.max(axis=1)
-                safe = np.where(np.isfinite(top), top, 0.0)
-                got = safe + np.log(np.exp(terms - safe[:, None]).sum(axis=1))
-                beta[:, i] = np.where(batch.lengths == i, 0.0, got)
-        total = alpha[np.arange(n), batch.lengths]
-        r, i, k = np.nonzero(np.isfinite(w))
-        share = np.exp(alpha[r, i] + w[r, i, k] + beta[r, i + k + 1] - total[r]) * counts[rows][r]
-        ids = batch.ids[r, i, k]
-        plain = ids >= 0
-        out += np.bincount(ids[plain], share[plain], vocab.size)
-        if len(batch.spelt[0]):
-            weight = {(a, b): s for a, b, s in zip(r[~plain], i[~plain], share[~plain], strict=True)}
-            for a, b, raw in zip(*batch.spelt, strict=True):
-                np.add.at(out, vocab.byte_ids[raw], weight.get((a, b), 0.0))
-    return out
-
-
 def best(vocab: Vocabulary, scores: np.ndarray, words: Sequence[str]) -> list[tuple[int, ...]]:
     """Ids of each word's segmentation of largest summed score; of equal ones that with the longest last piece, and so on backwards."""
     out: list[tuple[int, ...]] = [()] * len(words)

@@ -104,8 +104,8 @@ def open_pairs(open_: DataFrame, near: Callable, block: int = 2048) -> DataFrame
     def meet(x: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, g in x.groupby("key", sort=False):
-            asking = g["asks"].to_numpy()
-            (qi, qr, qm), (vi, vr, vm) = ([g[c].to_numpy()[rows] for c in ("id", "root", "mark")] for rows in (asking, ~asking))
+            asking, marks = g["asks"].to_numpy(), np.array(g["mark"].tolist())
+            (qi, qr, qm), (vi, vr, vm) = ([x[rows] for x in (g["id"].to_numpy(), g["root"].to_numpy(), marks)] for rows in (asking, ~asking))
             main = g["main"].iloc[0]
             for i, r, m in zip(qi, qr, qm, strict=True):
                 hit = vi[(vr != r) & ((vr == main) | (vi < i)) & near(vm, m)]

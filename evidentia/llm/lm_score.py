@@ -1,16 +1,16 @@
 """Subword lattice likelihood of whole documents.
 
 Every word, with a space mark before it, is a lattice over an existing vocabulary's pieces
-(lattice.py). The pieces' probabilities start from the vocabulary's own scores and are
-re-estimated from the training documents by forward-backward sums over all segmentations
-of all their distinct words. A forward recursion in log space then gives the word's marginal
-probability; no single segmentation is chosen.
-
-The training words themselves are one more edge of the lattice, from a word's start to its
-end: P(w) = max(c - D, 0) / N + (D V / N) lattice(w), absolute discounting with the lattice
-as the lower order. The document's probability is the marginal of an urn that starts with
-ALPHA draws' weight of P: a word that came before in the document is likelier to come again,
-and the order of words doesn't matter:
+(lattice.py), weighted by the vocabulary's own scores. A forward recursion in log space gives
+the word's marginal probability over all segmentations; no single one is chosen. A text is its
+words in order and an end: score = (1 - stop)^n stop prod_w lattice(w), with stop from the
+training documents' lengths.
+
+word_score goes on from there: the training words are one more edge of the lattice, from a
+word's start to its end: P(w) = max(c - D, 0) / N + (D V / N) lattice(w), absolute discounting
+with the lattice as the lower order. The document's probability is the marginal of an urn that
+starts with ALPHA draws' weight of P: a word that came before in the document is likelier to
+come again, and the order of words doesn't matter:
 P(text) = stop (1 - stop)^n prod_w prod_{j < n_w} (ALPHA P(w) + j) / prod_{i < n} (ALPHA + i).
 
 Words are counted over all documents. The at most 1 / HEAVY words that make up a share of
@@ -31,11 +31,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from evidentia.llm.common import remainder, staged, table
-from evidentia.llm.lattice import MODEL_FILE, SPACE, expectations, likelihoods, vocabulary
+from evidentia.llm.lattice import MODEL_FILE, SPACE, likelihoods, vocabulary
 
-ALPHA, ROUNDS, HEAVY, FOLDS = 1000.0, 3, 1 / 40_000, 10
-#: Added to every piece's expected count.
-PRIOR = 0.01
+ALPHA, HEAVY, FOLDS = 1000.0, 1 / 40_000, 10
 #: Distinct words that a task counts before it passes them on.
 HELD_WORDS = 400_000
 _LN10 = math.log(10)
@@ -73,41 +71,12 @@ def _spelt(words: pd.Series) -> list[str]:
     return [SPACE + bytes(w).decode("utf-8", "surrogatepass") for w in words]
 
 
-def fit_pieces(words: DataFrame, model: bytes, rounds: int = ROUNDS) -> np.ndarray:
-    """Log-probability of every piece after some rounds of expectation and maximisation over distinct words(word).
-
-    What comes to the driver is one number for each piece of the vocabulary.
-    """
-    sc = words.sparkSession.sparkContext
-    shared = sc.broadcast(model)
-    vocab = vocabulary(model)
-    scores = vocab.rank_scores()
-    live = np.isfinite(scores)
-    for _ in range(rounds):
-        now = sc.broadcast(scores)
-
-        def run(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            v, got = vocabulary(shared.value), 0.0
-            for x in batches:
-                got = got + expectations(v, now.value, _spelt(x["word"]), np.ones(len(x)))
-            at = np.flatnonzero(got)
-            yield pd.DataFrame({"piece": at, "e": got[at] if len(at) else np.zeros(0)})
-
-        found = words.select("word").mapInPandas(run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).toPandas()
-        e = np.zeros(vocab.size)
-        e[found["piece"].to_numpy(int)] = found["e"]
-        e = np.where(live, e + PRIOR, 0.0)
-        with np.errstate(divide="ignore"):
-            scores = np.log(e / e.sum())
-    return scores
-
-
-def score_documents(docs: DataFrame, vocabulary_file: str = MODEL_FILE, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, lattice_score, score of docs(doc_id, text, held_out).
+def score_documents(docs: DataFrame, vocabulary_file: str = MODEL_FILE, alpha: float = ALPHA) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score of docs(doc_id, text, held_out).
 
     Rows with held_out false (or null) are the training rows. Null texts count as empty; an empty text has its end
-    as the only token. lattice_score leaves out the whole-word edges and the urn. Repeated rows give repeated rows.
-    Without training rows every word has the vocabulary's own scores. Scores are log10 of the text's probability.
+    as the only token. score is the lattice alone; word_score has whole-word edges and the urn as well. Repeated rows give
+    repeated rows, an empty table none. Other columns don't matter. Scores are log10 of the text's probability.
     """
     spark = docs.sparkSession
     with open(vocabulary_file, "rb") as f:
@@ -119,13 +88,13 @@ def score_documents(docs: DataFrame, vocabulary_file: str = MODEL_FILE, alpha: f
     n_words, v_words, n1, n2 = got["n"] or 0, got["v"], got["n1"], got["n2"]
     ends = rows.where("train").count()
     n, v = n_words + ends, v_words + (ends > 0)
-    pieces = fit_pieces(counted.where("c > 0"), model, rounds)
-    shared = spark.sparkContext.broadcast((model, pieces))
+    shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab = vocabulary(shared.value[0])
+        vocab = vocabulary(shared.value)
+        scores = vocab.rank_scores()
         for x in batches:
-            x["lattice"] = likelihoods(vocab, shared.value[1], _spelt(x["word"]))
+            x["lattice"] = likelihoods(vocab, scores, _spelt(x["word"]))
             yield x
 
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
@@ -190,7 +159,7 @@ def score_documents(docs: DataFrame, vocabulary_file: str = MODEL_FILE, alpha: f
     heads = parts.where("word IS NULL").select(*rest.columns)
     found = heads.unionByName(rest).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "lattice", "urn")])
     return found.select("doc_id", (remainder("doc_id", FOLDS) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-                        F.col("base").alias("base_score"), (F.col("lattice") / _LN10).alias("lattice_score"), (F.col("urn") / _LN10).alias("score"))
+                        F.col("base").alias("base_score"), (F.col("lattice") / _LN10).alias("score"), (F.col("urn") / _LN10).alias("word_score"))
 
 
 def _urn(alpha: float, log_p: float, k: int) -> float:

@@ -4,9 +4,11 @@ The encoding of a text is its segmentation into vocabulary pieces with the large
 A text no longer than CHUNK is encoded in one go. A longer one is cut into chunks of CHUNK
 characters. At a chunk's border the only state is how many of the next chunk's first
 characters the piece across the border has taken: 0 to the longest piece less one. Each chunk
-yields the matrix of best scores from entry state to exit state; matrices combine by the
-associative (max, +) product; and with its entry and exit state known, every chunk is traced
-back by itself. Chunks are rows, so a giant document is the work of many tasks.
+yields the matrix of best scores from entry state to exit state. Matrices combine by the
+associative (max, +) product: of BLOCK neighbours to a block, as a tree of pairs, and a document's
+blocks give the states at their borders, from which follow those at the chunks' borders in each block.
+With its entry and exit state known, every chunk is traced back by itself. Chunks and blocks are rows,
+so a giant document is the work of many tasks.
 
 Spaces become space marks, and one more stands before the text. Characters outside the
 vocabulary, and space marks in the text itself, are spelt by byte pieces, so decoding gives
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -28,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evidentia.llm.common import staged, table
 from evidentia.llm.lattice import BYTES, MODEL_FILE, SPACE, Batch, best, slices, vocabulary
 
-#: Characters of a chunk; words and their segmentations that a task remembers.
-CHUNK, MEMORY = 65_536, 200_000
+#: Characters of a chunk, chunks whose matrices are combined in one task; words and their segmentations that a task remembers.
+CHUNK, BLOCK, MEMORY = 16_384, 64, 200_000
 #: Stands in the marked text for a space mark that the original holds: it is spelt by bytes.
 LITERAL = "￿"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -47,7 +50,9 @@ class Encoder:
         self.vocab = vocabulary(model)
         self.scores = self.vocab.rank_scores() if scores is None else scores
         self.states = self.vocab.longest
-        self._known: dict[str, bytes] = {}  # the ids as bytes of 32 bits each
+        # words, and words after a space mark without it: their ids as bytes of 32 bits each, and the bytes these decode to
+        self._known: dict[str, tuple[bytes, bytes]] = {}
+        self._after: dict[str, tuple[bytes, bytes]] = {}
         self.literal = {"0": self.vocab.byte_ids[list(SPACE.encode())].tolist(), "1": self.vocab.byte_ids[list(LITERAL.encode())].tolist()}
         self._bytes = [p.replace(SPACE, " ").encode() for p in self.vocab.pieces]
         for b, i in enumerate(self.vocab.byte_ids):
@@ -57,17 +62,22 @@ class Encoder:
         """Parts of a marked text between which no piece can lie."""
         return _WORD.findall(text) if self.vocab.words_split else [text]
 
-    def learn(self, words: set[str]) -> None:
-        """Segment words that aren't remembered yet, all at once."""
-        new = sorted(words - self._known.keys())
-        if len(self._known) + len(new) > MEMORY:
-            self._known.clear()
+    def learn(self, words: set[str], after: bool = False) -> None:
+        """Segment words that aren't remembered yet, all at once; after: they follow a space mark that they come without."""
+        held = self._after if after else self._known
+        new = sorted(words - held.keys())
+        if len(held) + len(new) > MEMORY:
+            held.clear()
             new = sorted(words)
-        plain = [w for w in new if LITERAL not in w]
-        self._known.update((w, np.array(ids, np.int32).tobytes()) for w, ids in zip(plain, best(self.vocab, self.scores, plain), strict=True))
-        for w in new:
-            if LITERAL in w:
-                self._known[w] = np.array(self._escaped(w), np.int32).tobytes()
+        marked_ = [SPACE + w for w in new] if after else new
+        plain = [m for m in marked_ if LITERAL not in m]
+        found = dict(zip(plain, best(self.vocab, self.scores, plain), strict=True))
+        for w, m in zip(new, marked_, strict=True):
+            ids = found[m] if m in found else self._escaped(m)
+            held[w] = np.array(ids, np.int32).tobytes(), self._spelt(ids)
+
+    def _spelt(self, ids: list[int] | tuple[int, ...]) -> bytes:
+        return b"".join(map(self._bytes.__getitem__, ids))
 
     def _escaped(self, word: str) -> list[int]:
         out: list[int] = []
@@ -83,7 +93,20 @@ class Encoder:
         """Ids of marked texts."""
         cut = [self.words(t) for t in texts]
         self.learn({w for c in cut for w in c})
-        return [np.frombuffer(b"".join(map(self._known.__getitem__, c)), np.int32) for c in cut]
+        return [np.frombuffer(b"".join(self._known[w][0] for w in c), np.int32) for c in cut]
+
+    def both(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
+        """Ids of unmarked texts, and the UTF-8 that these ids decode to. A word is segmented, and its ids decoded, once."""
+        cut = [(True, t.split(" ")) if self.vocab.words_split and SPACE not in t and LITERAL not in t else (False, [""]) for t in texts]
+        cut = [(after, c) if "" not in c else (False, self.words(marked(t))) for (after, c), t in zip(cut, texts, strict=True)]
+        for kind in (True, False):
+            self.learn(set().union(*(c for after, c in cut if after is kind)), kind)
+        out = []
+        for after, c in cut:
+            got = list(map((self._after if after else self._known).__getitem__, c))
+            raw = b"".join(map(itemgetter(1), got))
+            out.append((np.frombuffer(b"".join(map(itemgetter(0), got)), np.int32), raw[1:] if raw.startswith(b" ") else raw))
+        return out
 
     def score(self, ids: np.ndarray | list[int]) -> float:
         return float(self.scores[np.asarray(ids, np.int64)].sum()) if len(ids) else 0.0
@@ -132,7 +155,7 @@ class Encoder:
 
     def decoded_bytes(self, ids: np.ndarray | list[int]) -> bytes:
         """UTF-8 of the text of ids, without the one space mark before the text."""
-        raw = b"".join(map(self._bytes.__getitem__, np.asarray(ids, np.int64).tolist()))
+        raw = self._spelt(np.asarray(ids, np.int64).tolist())
         return raw[1:] if raw.startswith(b" ") else raw
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
@@ -144,20 +167,27 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def states(matrices: list[np.ndarray]) -> tuple[list[int], float]:
-    """The state at each border along the best way through chunks in order (first and last: 0), and its score.
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The product of matrices in order, as a tree of pairs."""
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[i : i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def states(matrices: list[np.ndarray], enter: int = 0, leave: int = 0) -> tuple[list[int], float]:
+    """The state at each border along the best way through chunks in order, from one state to another, and its score.
 
     Suffix products give, from any border state, the best rest; the states then follow from the left.
     """
-    rest = [np.where(np.arange(matrices[0].shape[0]) == 0, 0.0, -np.inf)]
+    rest = [np.where(np.arange(matrices[0].shape[0]) == leave, 0.0, -np.inf)]
     for m in reversed(matrices):
         rest.append((m + rest[-1][None, :]).max(axis=1))
     rest.reverse()
-    at, out = 0, [0]
+    at, out = enter, [enter]
     for m, r in zip(matrices, rest[1:], strict=True):
         at = int((m[at] + r).argmax())
         out.append(at)
-    return out, float(rest[0][0])
+    return out, float(rest[0][enter])
 
 
 def cut_points(text: str, size: int) -> list[int]:
@@ -189,8 +219,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int
         for x in batches:
             texts = x.column(1).to_pylist()
             for part in slices(texts):
-                ids = encoder.encode_all([marked(t) for t in texts[part]])
-                yield _arrow(encoder, x.column(0).slice(part.start, part.stop - part.start), [len(t) for t in texts[part]], ids)
+                yield _arrow(encoder, x.column(0).slice(part.start, part.stop - part.start), [len(t) for t in texts[part]], encoder.both(texts[part]))
 
     out = f"key {kind}, n_chars long, ids array<int>, score double, decoded_sha256 string"
     short = rows.where(F.length("text") <= limit).mapInArrow(whole, out)
@@ -218,16 +247,30 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int
                 encoder.learn({w for c in y["chunk"] for w in encoder.words(c)[1:-1]})
                 yield pd.DataFrame({"uid": y["uid"], "pos": y["pos"], "m": [shortcut(encoder, c, a)[0].ravel() for c, a in zip(y["chunk"], y["ahead"], strict=True)]})
 
-    matrices = pieces.mapInPandas(transfer, "uid long, pos int, m array<double>")
+    matrices = staged(pieces.mapInPandas(transfer, "uid long, pos int, m array<double>"), "matrices")
+    square = lambda ms: [np.asarray(m).reshape(int(len(m) ** 0.5), -1) for m in ms]
+
+    def block(x: pd.DataFrame) -> pd.DataFrame:
+        """The product of BLOCK neighbouring chunks."""
+        x = x.sort_values("pos")
+        return pd.DataFrame({"uid": x["uid"].iloc[:1], "block": x["pos"].iloc[:1] // BLOCK, "m": [product(square(x["m"])).ravel()]})
+
+    def across(x: pd.DataFrame) -> pd.DataFrame:
+        """The states at the borders of a document's blocks. The longest string that Spark can hold has 2,048 blocks, 4 MB of matrices."""
+        x = x.sort_values("block")
+        at, score = states(square(x["m"]))
+        return pd.DataFrame({"uid": x["uid"], "block": x["block"], "enter": at[:-1], "leave": at[1:], "score": score})
 
-    def scan(x: pd.DataFrame) -> pd.DataFrame:
+    def within(x: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        """The states at the borders of a block's chunks, between the block's own."""
         x = x.sort_values("pos")
-        n = int(len(x["m"].iloc[0]) ** 0.5)
-        at, score = states([np.asarray(m).reshape(n, n) for m in x["m"]])
-        return pd.DataFrame({"uid": x["uid"], "pos": x["pos"], "enter": at[:-1], "leave": at[1:], "score": score})
+        at, _ = states(square(x["m"]), int(ends["enter"].iloc[0]), int(ends["leave"].iloc[0]))
+        return pd.DataFrame({"uid": x["uid"], "pos": x["pos"], "enter": at[:-1], "leave": at[1:], "score": ends["score"].iloc[0]})
 
-    # a document's matrices are 2 KB for each 65,536 characters: the longest string that Spark can hold has 64 MB of them
-    ways = matrices.groupBy("uid").applyInPandas(scan, "uid long, pos int, enter int, leave int, score double")
+    placed = matrices.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("int"))
+    blocks = placed.groupBy("uid", "block").applyInPandas(block, "uid long, block int, m array<double>")
+    borders = blocks.groupBy("uid").applyInPandas(across, "uid long, block int, enter int, leave int, score double")
+    ways = placed.groupBy("uid", "block").cogroup(borders.groupBy("uid", "block")).applyInPandas(within, "uid long, pos int, enter int, leave int, score double")
 
     def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(model.value)
@@ -316,10 +359,11 @@ def decode(encoded: DataFrame, key: str = "doc_id", model_file: str = MODEL_FILE
     return encoded.select(F.col(key).alias("key"), "ids").mapInPandas(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def _arrow(encoder: Encoder, keys: pa.Array, n_chars: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
+def _arrow(encoder: Encoder, keys: pa.Array, n_chars: list[int], got: list[tuple[np.ndarray, bytes]]) -> pa.RecordBatch:
+    ids = [i for i, _ in got]
     ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-    digests = [hashlib.sha256(encoder.decoded_bytes(i)).hexdigest() for i in ids]
+    digests = [hashlib.sha256(raw).hexdigest() for _, raw in got]
     return pa.RecordBatch.from_arrays([keys, pa.array(n_chars, pa.int64()), lists, pa.array([encoder.score(i) for i in ids], pa.float64()), pa.array(digests, pa.string())],
                                       names=["key", "n_chars", "ids", "score", "decoded_sha256"])
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from evidentia.llm.lattice import MODEL_FILE, SPACE, likelihoods, vocabulary
-from evidentia.llm.lm_score import ALPHA, _LN10, _urn, fit_pieces, op3_lm_scoring, score_documents, tokens
+from evidentia.llm.lm_score import ALPHA, _LN10, _urn, op3_lm_scoring, score_documents, tokens
 
 ROWS = [(1, "The cat sat on the mat.", False), (2, "the dog\tsat\non the cat", False), (3, "", False), (4, None, False), (5, "the unseen word", True),
         (6, "", True), (7, "ünï 漢字 the\x00the", True), (8, "the cat sat " * 400, False), (9, "the dog\tsat\non the cat", None), (None, "cat", True), (10, "b" * 3000, True)]
@@ -25,9 +25,8 @@ def test_scores_equal_brute_force(spark):
     n, v = seen.total() + len(learned), len(seen) + 1
     base = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     model = open(MODEL_FILE, "rb").read()
-    pieces = fit_pieces(spark.createDataFrame([(w.encode(),) for w in seen], "word binary"), model)
     every = sorted({w for ws in words.values() for w in ws})
-    lattice = dict(zip(every, likelihoods(vocabulary(model), pieces, [SPACE + w for w in every]), strict=True))
+    lattice = dict(zip(every, likelihoods(vocabulary(model), vocabulary(model).rank_scores(), [SPACE + w for w in every]), strict=True))
     ones, twos = (sum(c == k for c in seen.values()) for k in (1, 2))
     d = ones / (ones + 2 * twos) if ones and twos else 0.5
     stop = (len(learned) + 0.5) / (n + 1)
@@ -38,12 +37,29 @@ def test_scores_equal_brute_force(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws) + 1, sum(w in seen for w in ws) + 1, n)
         assert r["base_score"] == pytest.approx(sum(base(seen[w]) for w in ws) + base(len(learned)))
         fixed = math.log(stop) + len(ws) * math.log1p(-stop)
-        assert r["lattice_score"] == pytest.approx((sum(lattice[w] for w in ws) + fixed) / _LN10)
+        assert r["score"] == pytest.approx((sum(lattice[w] for w in ws) + fixed) / _LN10)
         urn = fixed - (math.lgamma(ALPHA + len(ws)) - math.lgamma(ALPHA))
         for w, k in Counter(ws).items():
             p = max(seen[w] - d, 0) / seen.total() + d * len(seen) / seen.total() * math.exp(lattice[w])
             urn += _urn(ALPHA, math.log(p) if p > 1e-290 else lattice[w] + math.log(d * len(seen) / seen.total()), k)
-        assert r["score"] == pytest.approx(urn / _LN10)
+        assert r["word_score"] == pytest.approx(urn / _LN10)
+
+
+def test_score_is_the_sum_over_all_segmentations(spark):
+    """Each word's probability from a recursion over every piece that ends at a character, written anew."""
+    vocab = vocabulary(open(MODEL_FILE, "rb").read())
+    scores, piece = vocab.rank_scores(), {vocab.pieces[i]: i for i in vocab.plain}
+    rows = [(1, "the cat", False, 1.0), (2, "catalogue of cats", True, 2.0)]
+    got = {r["doc_id"]: r["score"] for r in score_documents(spark.createDataFrame(rows, SCHEMA + ", score double")).collect()}
+    for i, text, _, _ in rows:
+        total = math.log10(1.5 / 4) + len(text.split()) * math.log10(1 - 1.5 / 4)  # two words and one end to learn from
+        for w in text.split():
+            reach = [1.0] + [0.0] * (len(w) + 1)
+            marked = SPACE + w
+            for j in range(1, len(marked) + 1):
+                reach[j] = sum(reach[k] * math.exp(scores[piece[marked[k:j]]]) for k in range(j) if marked[k:j] in piece)
+            total += math.log10(reach[len(marked)])
+        assert got[i] == pytest.approx(total)
 
 
 def test_empty_tables_and_no_training_rows(spark):

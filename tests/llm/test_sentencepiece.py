@@ -4,8 +4,9 @@ import random
 import numpy as np
 import pytest
 
-from evidentia.llm.lattice import MODEL_FILE, SPACE, best, expectations, likelihoods, vocabulary
-from evidentia.llm.sentencepiece_scan import LITERAL, Encoder, combine, cut_points, decode, encode, encoded_and_decoded, marked, shortcut, states
+from evidentia.llm.lattice import MODEL_FILE, SPACE, best, likelihoods, vocabulary
+from evidentia.llm import sentencepiece_scan
+from evidentia.llm.sentencepiece_scan import LITERAL, Encoder, combine, cut_points, decode, encode, encoded_and_decoded, marked, product, shortcut, states
 
 MODEL = open(MODEL_FILE, "rb").read()
 
@@ -42,6 +43,8 @@ def test_best_is_the_brute_force_best(encoder):
 def test_round_trip_of_every_text(encoder):
     for t in TEXTS:
         assert encoder.decode(encoder.encode_all([marked(t)])[0]) == t
+    for t, (ids, raw) in zip(TEXTS, encoder.both(TEXTS), strict=True):
+        assert ids.tolist() == encoder.encode_all([marked(t)])[0].tolist() and raw == encoder.decoded_bytes(ids) == t.encode()
 
 
 def test_scan_over_chunks_equals_the_whole(encoder):
@@ -58,15 +61,17 @@ def test_scan_over_chunks_equals_the_whole(encoder):
         ids = [i for c, a, e, o in zip(chunks, ahead, way, way[1:]) for i in shortcut(encoder, c, a, (e, o))[1]]
         assert encoder.score(ids) == pytest.approx(score, abs=1e-6)
         assert encoder.decode(ids) == encoder.decode(whole)
+        assert product(ms)[0, 0] == pytest.approx(score, abs=1e-6)
         left = combine(combine(ms[0], ms[1]), ms[2])
         right = combine(ms[0], combine(ms[1], ms[2]))
         assert np.allclose(left[np.isfinite(left)], right[np.isfinite(right)])
 
 
-def test_chunked_documents_equal_unchunked(spark):
+def test_chunked_documents_equal_unchunked(spark, monkeypatch):
     rows = [(i, "word and other things, " * n) for i, n in enumerate((0, 1, 40, 200))] + [(9, None), (9, None), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     key = lambda r: (str(r["doc_id"]), r["n_chars"])
+    monkeypatch.setattr(sentencepiece_scan, "BLOCK", 3)
     a = sorted(encode(docs, chunk=64).collect(), key=key)
     b = sorted(encode(docs).collect(), key=key)
     assert [key(r) for r in a] == [key(r) for r in b]
@@ -94,6 +99,4 @@ def test_likelihood_sums_all_segmentations(encoder):
         return sum(np.exp(s[piece[word[at:j]]]) * total(j) for j in range(at + 1, len(word) + 1) if word[at:j] in piece)
 
     assert likelihoods(vocab, s, [word])[0] == pytest.approx(np.log(total(0)))
-    e = expectations(vocab, s, [word], np.array([2.0]))
-    assert sum(e[i] * len(vocab.pieces[i]) for i in np.flatnonzero(e)) == pytest.approx(2 * len(word))
     assert vocabulary(MODEL) is vocabulary(MODEL) and best(vocab, s, []) == []
