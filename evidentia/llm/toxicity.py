@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidentia.llm.common import bounded_sample, remainder, table
 
-#: Labelled documents a model is fitted on at most (a hash order picks them), and words it may weigh.
-TRAIN_DOCS, VOCABULARY = 6000, 30_000
+#: Labelled documents a model is fitted on at most (a hash order picks them).
+TRAIN_DOCS = 6000
 #: A word needs so large a share of the fitted documents (three documents at least): rarer ones only help to memorise.
 SPREAD = 1 / 400
 STEPS, L1, RATE, FIRST_BIAS = 120, 2e-4, 0.25, -6.0
@@ -54,7 +54,7 @@ class _Weighed(dict):
 def fit(texts: list[str], labels: np.ndarray) -> tuple[list[str], np.ndarray, float]:
     """Words with nonzero weights, the weights, and the bias, by proximal adaptive gradients on the bag likelihood."""
     spread = Counter(f for t in texts for f in features(t))
-    words = [w for w, n in sorted(spread.items(), key=lambda x: (-x[1], x[0])) if n >= max(3, SPREAD * len(texts))][:VOCABULARY]
+    words = [w for w, n in sorted(spread.items(), key=lambda x: (-x[1], x[0])) if n >= max(3, SPREAD * len(texts))]
     ids = {w: i for i, w in enumerate(words)}
     known = _Weighed(dict(ids))
     doc, sentence, word = [], [], []
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Dat
 def score(docs: DataFrame, model: DataFrame, carry: list[str]) -> DataFrame:
     """carry columns, score, and offending array<struct<start, end, score>>: sentences of 0.5 or more, as code points.
 
-    Null and empty texts score 0. The model (at most VOCABULARY words) is sent to each task.
+    Null and empty texts score 0. The model is sent to each task; the sample that it was fitted on bounds its words.
     """
     row = model.first()
     weigh, bias = (dict(zip(row["words"], row["weights"], strict=True)), row["bias"]) if row else ({}, FIRST_BIAS)

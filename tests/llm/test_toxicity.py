@@ -25,6 +25,24 @@ def test_scores_locate_sentences_and_take_odd_rows(spark):
     assert [(s["start"], s["end"]) for s in got[2]["offending"]] == [(0, 20)]
 
 
+def test_scores_are_the_noisy_or_of_sentence_scores(spark):
+    """Against a plain version: sentences by hand, each feature's weight once, 1 - prod(1 - p)."""
+    weights, bias = {"bad": 3.0, "wor*": 0.5, "day": -1.0, "worse": 4.5}, -3.0
+    model = spark.createDataFrame([(list(weights), list(weights.values()), bias)], "words array<string>, weights array<double>, bias double")
+    texts = {1: ["Bad day.", " Worse worse!", "\nfine"], 2: ["nothing here"], 3: ["day. ", "BAD, so bad?"], 4: ["bar none."]}
+    got = {r["doc_id"]: r for r in score(spark.createDataFrame([(i, "".join(t)) for i, t in texts.items()], SCHEMA), model, ["doc_id"]).collect()}
+    for i, sentences in texts.items():
+        left, bad = 1.0, []
+        for s in sentences:
+            words = {w.strip(" .,!?\n").lower() for w in s.split()} - {""}
+            hit = words | {w[:3] + "*" if len(w) > 3 else "" for w in words}
+            p = 1 / (1 + np.exp(-(bias + sum(v for f, v in weights.items() if f in hit))))
+            left *= 1 - p
+            bad.append(p >= 0.5)
+        assert abs(got[i]["score"] - (1 - left)) < 1e-9, i
+        assert len(got[i]["offending"]) == sum(bad)
+
+
 def test_empty_tables(spark):
     docs, labels = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long, label int")
     model = train(docs, labels)
