@@ -47,7 +47,7 @@ def with_features(docs: DataFrame) -> DataFrame:
     One pass leaves the characters that are neither small letters nor common marks; capitals, figures and symbols are counted among these few.
     """
     t = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_tokens", n_tokens(t)).withColumn("_all", F.split(F.lower(t), r"[^\p{L}]+")).withColumn("_odd", F.regexp_replace(t, r"[\p{L}\s.,;:'’-&&[^\p{Lu}]]+", ""))
+    rows = docs.withColumn("_tokens", n_tokens(t)).withColumn("_all", F.split(F.lower(t), r"[^\p{L}]+")).withColumn("_odd", F.regexp_replace(t, r"[a-z\s.,;:'’\-\p{Ll}\p{Lo}\p{Lm}\p{Lt}]+", ""))
     rows = rows.withColumn("_words", F.array_distinct("_all"))
     n = F.greatest(F.length(t), F.lit(1))
     size = F.greatest("_tokens", F.lit(1))
