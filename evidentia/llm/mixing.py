@@ -116,7 +116,8 @@ def with_posteriors(rows: DataFrame, model: Classifier) -> DataFrame:
         known = F.array(*map(F.lit, model.words))
         found = F.transform(F.array_intersect("_words", known), lambda w: F.array_position(known, w).cast("int") - 1)
         rows = rows.withColumn("_found", found)
-        logits = [x + F.aggregate("_found", F.lit(0.0), lambda s, at, i=i: s + F.get(row([w[i] for w in model.words.values()]), at)) for i, x in zip(d, logits)]
+        summed = lambda weights: F.aggregate("_found", F.lit(0.0), lambda s, at: s + F.get(weights, at))
+        logits = [x + summed(row([w[i] for w in model.words.values()])) for i, x in zip(d, logits)]
     rows = rows.withColumn("_logit", F.array(*logits)).withColumn("_most", F.array_max("_logit"))
     rows = rows.withColumns({f"p{i}": F.exp(F.col("_logit")[i] - F.col("_most")) for i in d})
     total = reduce(lambda x, y: x + y, (F.col(f"p{i}") for i in d))
