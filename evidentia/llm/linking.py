@@ -11,12 +11,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidentia.llm.common import drop_staged, free, staged
 
 
+#: Pairs whose marks are compared at a time.
+PAIRS = 1 << 16
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and root (the component's smallest id) of every id in edges(a, b), by alternating large and small stars.
 
@@ -88,7 +92,9 @@ def link(buckets: DataFrame, marks: DataFrame, near: Callable[[Column, Column],
 
 
 def open_pairs(open_: DataFrame, near: Callable, block: int = 2048) -> DataFrame:
-    """Distinct pairs(a < b) of ids of different roots in the rows(key, id long, root, main, mark) that share a key and whose marks are near (on numpy arrays).
+    """Distinct pairs(a < b) of ids of different roots in the rows(key, id, root, main: long, mark: array<long> of one length) that share a key and are near.
+
+    near(a, b) compares arrays of marks, of which the last axis is the mark.
 
     A key's rows outside its main root meet all its rows, in blocks: no task holds more than two blocks of one key, and what is not near is never a row.
     """
@@ -101,16 +107,22 @@ def open_pairs(open_: DataFrame, near: Callable, block: int = 2048) -> DataFrame
     asks = rows.where("root <> main").withColumn("side", side).withColumn("block", every("blocks")).withColumn("asks", F.lit(True))
     task = F.when(F.col("blocks") * F.col("sides") == 1, few).otherwise(F.xxhash64("key", "block", "side"))
 
-    def meet(x: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in x.groupby("key", sort=False):
-            asking, marks = g["asks"].to_numpy(), np.array(g["mark"].tolist())
-            (qi, qr, qm), (vi, vr, vm) = ([x[rows] for x in (g["id"].to_numpy(), g["root"].to_numpy(), marks)] for rows in (asking, ~asking))
-            main = g["main"].iloc[0]
-            for i, r, m in zip(qi, qr, qm, strict=True):
-                hit = vi[(vr != r) & ((vr == main) | (vi < i)) & near(vm, m)]
-                out.append(np.stack([np.minimum(hit, i), np.maximum(hit, i)]))
-        a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": a, "b": b})
-
-    return held.unionByName(asks).select(task.alias("task"), "key", "id", "root", "main", "mark", "asks").groupBy("task").applyInPandas(meet, "a long, b long").distinct()
+    def meet(x: pa.Table) -> pa.Table:
+        key, asking, ids, roots, main = (x.column(c).to_numpy() for c in ("key", "asks", "id", "root", "main"))
+        marks = x.column("mark").combine_chunks().flatten().to_numpy().reshape(len(x), -1)
+        order = np.lexsort((asking, key))
+        starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        found = []
+        for rows in np.split(order, starts[1:]):
+            held = len(rows) - int(asking[rows].sum())
+            v, q = rows[:held], rows[held:]
+            for at in range(0, len(q), max(1, PAIRS // max(1, held))):  # a bounded number of pairs at a time
+                i = q[at : at + max(1, PAIRS // max(1, held)), None]
+                hit = (roots[v] != roots[i]) & ((roots[v] == main[v]) | (ids[v] < ids[i])) & near(marks[v][None], marks[i[:, 0]][:, None])
+                a, b = np.nonzero(hit)
+                a, b = ids[i[a, 0]], ids[v[b]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": a, "b": b})
+
+    return held.unionByName(asks).select(task.alias("task"), "key", "id", "root", "main", "mark", "asks").groupBy("task").applyInArrow(lambda x: meet(x), "a long, b long").distinct()
