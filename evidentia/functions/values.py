@@ -49,9 +49,13 @@ def normalise_number(text: Column, fmt: Column | None = None) -> Column:
 
 
 def fact_value(base: Column, scale: Column, sign: Column) -> Column:
-    """base x 10^scale x sign in decimals, for scales of -9 to 12; null beyond."""
+    """base x 10^scale x sign in decimals; null where that is beyond DECIMAL."""
     powers = F.create_map(*[x for k in range(-9, 13) for x in (F.lit(k), F.lit(f"{10**k}" if k >= 0 else f"0.{'0' * (-k - 1)}1").cast("decimal(23,9)"))])
-    return (base.cast("decimal(28,9)") * F.try_element_at(powers, F.coalesce(scale, F.lit(0)).cast("int")) * F.coalesce(sign, F.lit(1))).cast(DECIMAL)
+    k = F.coalesce(scale, F.lit(0)).cast("int")
+    usual = base.cast("decimal(28,9)") * F.try_element_at(powers, k) * F.coalesce(sign, F.lit(1))
+    rare = F.concat(F.when(F.coalesce(sign, F.lit(1)) < 0, "-").otherwise(""), base.cast("string"), F.lit("E"), k.cast("string"))
+    rare = F.when(base.isNotNull(), F.regexp_replace(rare, "^--", "").try_cast(DECIMAL))
+    return F.when(k.between(-9, 12), usual.cast(DECIMAL)).otherwise(rare)
 
 
 def format_figure(value: Column, unit: Column) -> Column:

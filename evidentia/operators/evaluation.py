@@ -58,24 +58,29 @@ def foreign_labels(labels: DataFrame, facts: DataFrame) -> DataFrame:
     declared = labels.where("text <> ''").select("concept", F.col("document_id").alias("other"), F.col("text").alias("label"))
     # what each document lacks: one row for each document and concept of the corpus, not for each label
     concepts = declared.select("concept").distinct()
-    lacking = documents.join(F.broadcast(concepts)).join(tagged, ["document_id", "concept"], "left_anti")
+    lacking = documents.join(concepts).join(tagged, ["document_id", "concept"], "left_anti")
     reachable = tagged.join(declared.select("concept", "label").distinct(), "concept").select("document_id", "label").distinct()
     return lacking.join(declared, "concept").where("other <> document_id").join(reachable, ["document_id", "label"], "left_anti").select("document_id", "other", "concept", "label")
 
 
 def cases(facts: DataFrame, labels: DataFrame, most: int = CASES) -> DataFrame:
-    """case_id, document_id, question, expectation, expected_value, note: answerable, wrong period, ambiguous and foreign cases, a sample of each per document."""
-    label = labels.where("text <> ''").select("document_id", "concept", F.col("text").alias("label"))
-    keys = facts.where("period <> ''").groupBy(*L.KEY).agg(F.countDistinct("value").alias("n"), F.min("value").alias("value")).join(label, ["document_id", "concept"])
-    keys = keys.withColumn("key", F.concat_ws("|", "concept", "period"))
+    """case_id, document_id, question, expectation, expected_value, note: answerable, wrong period, ambiguous and foreign cases, a sample of each per document.
+
+    A concept is asked for by the document's own label or else by another document's, the first of the pooled wordings.
+    """
+    own = labels.where("text <> ''").groupBy("document_id", "concept").agg(F.min("text").alias("own"))
+    pooled = L.pool_labels(labels).select("concept", F.col("wordings")[0].alias("pooled"))
+    keys = facts.where("period <> ''").groupBy(*L.KEY).agg(F.countDistinct("value").alias("n"), F.min("value").alias("value")).join(own, ["document_id", "concept"], "left").join(pooled, "concept", "left")
+    keys = keys.withColumn("label", F.coalesce("own", "pooled")).where("label IS NOT NULL").withColumn("key", F.concat_ws("|", "concept", "period"))
     asked = V.phrase_question(F.col("label"), F.col("period"))
     none = F.lit(None).cast(V.DECIMAL)
     out = lambda df, question, expectation, value, note: df.select(F.concat_ws("|", F.col("document_id").cast("string"), F.lit(note), "key").alias("case_id"), "document_id", question.alias("question"),
                                                                    F.lit(expectation).alias("expectation"), value.alias("expected_value"), F.lit(note).alias("note"))
     single = keys.where("n = 1")
-    year = F.element_at(F.array(*[F.lit(y) for y in YEARS]), (F.crc32("key") % len(YEARS) + 1).cast("int"))
+    digit = F.conv(F.left(F.md5("key"), F.lit(4)), 16, 10).cast("int")
+    year = F.element_at(F.array(*[F.lit(y) for y in YEARS]), digit % len(YEARS) + 1)
     # years of periods with a start and an end; an instant is no business year
-    known = single.where(~F.col("period").startswith("instant:")).select("document_id", F.explode(V.years_of(F.col("period"))).alias("y")).distinct()
+    known = facts.where("period LIKE '%/%'").select("document_id", F.explode(V.years_of(F.col("period"))).alias("y")).distinct()
     traps = sample(single, "key", "document_id", most // 2, "trap").withColumn("year", year.cast("string")).join(known.withColumnRenamed("y", "year"), ["document_id", "year"], "left_anti")
     foreign = foreign_labels(labels, facts).select("document_id", F.concat_ws("|", "concept", "label").alias("key"), "label").distinct()
     return (out(sample(single, "key", "document_id", most, "answer"), asked, "answer_from_ledger", F.col("value"), "answerable")
@@ -84,6 +89,18 @@ def cases(facts: DataFrame, labels: DataFrame, most: int = CASES) -> DataFrame:
             .unionByName(out(sample(foreign, "key", "document_id", most // 2, "foreign"), F.concat(F.lit("Wie hoch war "), "label", F.lit(" zum 31.12.2022?")), "abstain", none, "concept not tagged in this filing")))
 
 
+def examples(facts: DataFrame, most: int = QUESTIONS) -> DataFrame:
+    """KEY of some unambiguous keys in the order of a hash: what is shown as example questions, a sample by definition."""
+    keys = L.values_per_key(facts).where("n_values = 1").select(*L.KEY, F.md5(F.concat_ws("|", F.col("document_id").cast("string"), "concept", "period")).alias("h"))
+    return keys.orderBy("h", *L.KEY).limit(most).select(*L.KEY)
+
+
+def deltas(runs: DataFrame, measures: list[str], order: str = "rung") -> DataFrame:
+    """runs(rung, stratum, measures) with d_<measure>: the change from the rung before, in each stratum; null for the first."""
+    before = Window.partitionBy("stratum").orderBy(order)
+    return runs.withColumns({f"d_{m}": F.col(m) - F.lag(m).over(before) for m in measures})
+
+
 def hit_ranks(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """query_id, stratum, hit_rank (null: none), relevant ranks; questions without hits are misses. hits(query_id, rank, relevant boolean)."""
     got = hits.groupBy("query_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("hit_rank"), F.array_sort(F.collect_list(F.when(F.col("relevant"), F.col("rank")))).alias("ranks"))

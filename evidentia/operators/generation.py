@@ -14,32 +14,32 @@ SYSTEM = "Answer from the numbered passages alone, as a JSON object with the key
 
 
 def generate(questions: DataFrame, hits: DataFrame, complete: Callable[[str, str], str], passages: int = PASSAGES) -> DataFrame:
-    """query_id, text, chunk_id, support of questions(query_id, text) and hits(query_id, rank, chunk_id, text).
+    """query_id, text, chunk_id, support, failed of questions(query_id, text) and hits(query_id, rank, chunk_id, text).
 
     complete(system, user) is called once for each question with hits, in the tasks; an exception, a reply without an answer, or a passage number
-    that was not given is no answer: empty text, support 0. Support is the share of the answer's terms in its passage.
+    that was not given is no answer: empty text, support 0; failed says that it was an exception. Support is the share of the answer's terms in its passage.
     """
     near = hits.where(F.col("rank") <= passages).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text"))).alias("h"))
     asked = questions.select("query_id", F.col("text").alias("question")).join(near, "query_id", "left").withColumn("h", F.coalesce("h", F.array().cast(near.schema["h"].dataType)))
     asked = asked.withColumn("prompt", F.when(F.size("h") > 0, T.prompt(F.col("question"), F.transform("h", lambda x: x["text"]))))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for prompts in batches:
             out = []
             for p in prompts:
                 try:
-                    out.append(complete(SYSTEM, p) if p else "")
-                except Exception:  # noqa: BLE001  a client that fails gives no answer
-                    out.append("")
-            yield pd.Series(out)
+                    out.append((complete(SYSTEM, p) if p else "", False))
+                except Exception:  # noqa: BLE001  a client that fails gives no answer, and the row says so
+                    out.append(("", True))
+            yield pd.DataFrame(out, columns=["said", "failed"])
 
-    reply = F.pandas_udf(run, "string")(F.col("prompt"))
-    got = asked.withColumn("reply", reply).withColumn("r", T.parse_reply(F.col("reply")))
+    reply = F.pandas_udf(run, "said string, failed boolean")(F.col("prompt"))
+    got = asked.withColumn("reply", reply).withColumn("r", T.parse_reply(F.col("reply.said")))
     n = F.col("r.passage")
     given = (F.col("r.answer") != "") & (n >= 1) & (n <= F.size("h"))
     cited = F.get("h", n - 1)
     return got.select("query_id", F.when(given, F.col("r.answer")).otherwise("").alias("text"), F.when(given, cited["chunk_id"]).alias("chunk_id"),
-                      F.when(given, T.grounding(F.col("r.answer"), cited["text"])).otherwise(0.0).alias("support"))
+                      F.when(given, T.grounding(F.col("r.answer"), cited["text"])).otherwise(0.0).alias("support"), F.col("reply.failed").alias("failed"))
 
 
 def embed(texts: DataFrame, encode: Callable[[list[str]], list[list[float]]], prefix: str = "", window: int | None = None, count: Callable[[str], int] | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidentia.functions import text as T
@@ -15,6 +17,8 @@ from evidentia.functions import text as T
 K1, B, RRF_K, DEPTH = 1.5, 0.75, 60, 50
 #: Scores are rounded to so many places before they rank, so that sums in another order rank alike.
 PLACES = 8
+#: Queries and vectors that meet in one task of exact vector search.
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 8192
 
 
 class Index(NamedTuple):
@@ -63,19 +67,46 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / size(a) / size(b)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, top_k: int = 10, scoped: bool = False, query_blocks: int = 16) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, top_k: int = 10, scoped: bool = False) -> DataFrame:
     """query_id, rank, chunk_id, score of queries(query_id, embedding[, document_id]) over vectors(chunk_id, document_id, position, embedding).
 
-    Every query meets every vector (of its document, if scoped): exact search. Queries are dealt into blocks, vectors go to each block.
+    Every query meets every vector (of its document, if scoped): exact search. Null vectors take no part. Without scope, blocks of
+    QUERY_BLOCK queries meet blocks of VECTOR_BLOCK vectors, one task for each pair of blocks, and only what can be among a query's best of
+    the block leaves it. All vectors must have one length there.
     """
-    q = queries.withColumnRenamed("embedding", "_q")
+    q, v = queries.where("embedding IS NOT NULL"), vectors.where("embedding IS NOT NULL")
     if scoped:
-        pairs = vectors.join(q, "document_id")
-    else:
-        blocks = F.sequence(F.lit(0), F.lit(query_blocks - 1))
-        pairs = vectors.withColumn("_b", F.explode(blocks)).join(q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).drop("document_id"), "_b")
-    scores = pairs.select("query_id", "chunk_id", "position", F.round(cosine(F.col("_q"), F.col("embedding")), 6).alias("score"))
-    return ranked(scores, top_k, "position")
+        pairs = v.join(q.withColumnRenamed("embedding", "_q"), "document_id")
+        scores = pairs.select("query_id", "chunk_id", "position", F.round(cosine(F.col("_q"), F.col("embedding")), 6).alias("score"))
+        return ranked(scores, top_k, "position")
+    sides, blocks = (max(1, -(-x.count() // size)) for x, size in ((q, QUERY_BLOCK), (v, VECTOR_BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumns({"_s": F.pmod(F.xxhash64("query_id"), F.lit(sides)).cast("int"), "_b": every(blocks)})
+    right = v.select("chunk_id", "position", F.col("embedding").cast("array<double>").alias("embedding")).withColumns({"_b": F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int"), "_s": every(sides)})
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"query_id": x["query_id"].iloc[:0], "chunk_id": y["chunk_id"].iloc[:0], "position": y["position"].iloc[:0], "cosine": []}).astype({"cosine": float})
+        a, b = np.stack(x["embedding"].to_list()), np.stack(y["embedding"].to_list())
+        size = lambda m: np.maximum(np.sqrt(_in_order(m, m)), 1e-12)
+        na, nb = size(a), size(b)
+        rough = (a / na[:, None]) @ (b / nb[:, None]).T
+        # scores are rounded to six places and ties go by position: all that may tie with the last of the best stay
+        last = np.partition(rough, -top_k, axis=1)[:, -top_k] if rough.shape[1] > top_k else np.full(len(a), -np.inf)
+        row, at = np.nonzero(rough >= (last - 2e-6)[:, None])
+        return pd.DataFrame({"query_id": x["query_id"].to_numpy()[row], "chunk_id": y["chunk_id"].to_numpy()[at], "position": y["position"].to_numpy()[at], "cosine": _in_order(a[row], b[at]) / na[row] / nb[at]})
+
+    kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c, d in (("query_id", q), ("chunk_id", v), ("position", v)))
+    met = left.groupBy("_s", "_b").cogroup(right.groupBy("_s", "_b")).applyInPandas(meet, f"{kinds}, cosine double")
+    return ranked(met.select("query_id", "chunk_id", "position", F.round("cosine", 6).alias("score")), top_k, "position")
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component on, as cosine does."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
 
 
 def fuse(members: list[DataFrame], top_k: int = 10, k: int = RRF_K, depth: int = DEPTH) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evidentia.functions import values as V
+from evidentia.operators import citation
 from evidentia.sources.tables import table
 
 
@@ -69,8 +70,8 @@ COVER_SQL = f"{PAIRS_SQL} SELECT l_orderkey, n AS outer_n, m AS inner_n, round(s
 
 
 def span_union(spark: SparkSession, sf: str) -> DataFrame:
-    b = boxes(spark, sf).groupBy("l_orderkey", "page")
-    return b.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n"))
+    got = citation.union_spans(boxes(spark, sf).select("l_orderkey", "page", _span().alias("span")), ["l_orderkey", "page"])
+    return got.select("l_orderkey", "page", *[F.col(f"span.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")], "n")
 
 
 UNION_SQL = f"WITH {BOXES_SQL} SELECT l_orderkey, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM b GROUP BY ALL"
@@ -78,11 +79,9 @@ UNION_SQL = f"WITH {BOXES_SQL} SELECT l_orderkey, page, min(x0) AS x0, min(y0) A
 
 def header_above(spark: SparkSession, sf: str) -> DataFrame:
     """For each box the nearest box above it on the page that overlaps it by over 0.3 of its width; of equally near ones the first."""
-    b = boxes(spark, sf)
-    h = b.select("l_orderkey", "page", F.col("n").alias("header"), F.col("x0").alias("hx0"), F.col("x1").alias("hx1"), F.col("y1").alias("hy1"))
-    share = (F.least("x1", "hx1") - F.greatest("x0", "hx0")) / F.greatest(F.col("x1") - F.col("x0"), F.lit(1e-9))
-    got = b.join(h, ["l_orderkey", "page"]).where((F.col("n") != F.col("header")) & (F.col("hy1") <= F.col("y0")) & (share > 0.3))
-    return got.groupBy("l_orderkey", "n").agg(F.min(F.struct((-F.col("hy1")).alias("k"), "header")).alias("b")).select("l_orderkey", "n", "b.header")
+    b = boxes(spark, sf).select("l_orderkey", "page", F.col("n").alias("seq"), F.col("n").cast("string").alias("word"), _span().alias("span"))
+    got = citation.headers_above(b.drop("word"), b, ["l_orderkey", "page"], ["l_orderkey", "seq"])
+    return got.select("l_orderkey", F.col("seq").alias("n"), F.col("header.seq").alias("header"))
 
 
 HEADER_SQL = f"""WITH {BOXES_SQL}, j AS (SELECT a.l_orderkey, a.n, c.n AS header, row_number() OVER (PARTITION BY a.l_orderkey, a.n ORDER BY c.y1 DESC, c.n) AS r FROM b a JOIN b c

@@ -131,6 +131,13 @@ def fact_questions(spark: SparkSession, sf: str) -> DataFrame:
 QS_SQL = f"""{FACTS_SQL}, qs AS (SELECT seq AS query_id, document_id, fact_id, concept, seq % 4 AS k, period[9:12] AS year, strftime(period[9:]::DATE, '%d.%m.%Y') AS day,
   CASE k WHEN 0 THEN 'Wie hoch war ' || concept || ' zum ' || day || '?' WHEN 1 THEN 'Wie hoch war ' || concept || ' im Geschäftsjahr ' || year || '?' WHEN 2 THEN 'Wie hoch war ' || concept || '?'
   ELSE 'Wie hoch war der gesamte geplante Erwerb ' || concept || ' zum ' || day || '?' END AS text FROM f)"""
+
+
+def _filled_sql(pattern: str, *columns: str) -> str:
+    parts = ["'" + p.replace("'", "''") + "'" for p in pattern.split("{}")]
+    return " || ".join(x for i, p in enumerate(parts) for x in (p, *columns[i : i + 1]))
+
+
 # All wordings here have two terms of over two letters, so a wording matches a question if both occur in it.
 ROUTE_SQL = f"""{QS_SQL}, c AS (SELECT DISTINCT document_id, concept, {sql_tokens("concept")} AS ts FROM f), cp AS (SELECT DISTINCT document_id, concept, period FROM f),
 qt AS (SELECT *, list_distinct({sql_tokens("text")}) AS said, list_filter(list_distinct({sql_tokens("text")}), lambda t: length(t) > 2 AND NOT list_contains([{", ".join(f"'{w}'" for w in T.FRAMING)}], t) AND NOT regexp_matches(t, '^[0-9]')) AS asked FROM qs),
@@ -142,9 +149,9 @@ mm AS (SELECT query_id, list(concept ORDER BY concept) AS concepts, min(concept)
 av AS (SELECT query_id, min(period) FILTER (k IN (0, 3) AND period = 'instant:' || strftime(strptime(day, '%d.%m.%Y'), '%Y-%m-%d')) AS exact, min(period) FILTER (period[9:12] = year) AS by_year
   FROM ti JOIN cp USING (document_id, concept) JOIN qs USING (query_id) GROUP BY query_id),
 rt AS (SELECT q.query_id, q.document_id, q.k, concepts, label, len(asked) AS n, len(list_intersect(asked, list_distinct({sql_tokens("label")}))) AS covered, coalesce(exact, by_year) AS found FROM qt q LEFT JOIN mm USING (query_id) LEFT JOIN av USING (query_id)),
-de AS (SELECT query_id, document_id, concepts, label, found, CASE WHEN label IS NULL THEN 'no tagged concept named'
-  WHEN n > 0 AND covered::DOUBLE / n < 0.6::DOUBLE THEN 'the question names more than the tagged concept ''' || label || ''', so it is not asking for that figure'
-  WHEN k = 2 THEN 'concept named but no period, which is ambiguous across years' WHEN found IS NULL THEN 'concept named but not tagged for the requested period' ELSE '' END AS reason FROM rt)"""
+de AS (SELECT query_id, document_id, concepts, label, found, CASE WHEN label IS NULL THEN '{L.NO_CONCEPT}'
+  WHEN n > 0 AND covered::DOUBLE / n < 0.6::DOUBLE THEN {_filled_sql(L.ASKS_MORE, 'label')}
+  WHEN k = 2 THEN '{L.NO_PERIOD}' WHEN found IS NULL THEN '{L.PERIOD_UNTAGGED}' ELSE '' END AS reason FROM rt)"""
 
 
 def _decisions(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,8 +179,7 @@ ANSWER_SQL = f"""WITH {ROUTE_SQL}, e AS (SELECT query_id, document_id, found AS
 g AS (SELECT query_id, e.period, count(*) AS n, count(DISTINCT value) AS nv, arg_min(value, seq) AS v FROM e JOIN f USING (document_id, concept, period) GROUP BY ALL)
 SELECT query_id, CASE WHEN nv = 1 THEN 'answered' ELSE 'abstained' END AS status, CASE WHEN nv = 1 THEN CASE WHEN v < 0 THEN '-' ELSE '' END || translate(format('{{:,.2f}}', abs(v)::DOUBLE), ',.', '.,') || ' EUR' ELSE '' END AS text,
   CASE WHEN nv = 1 THEN v END AS value, CASE WHEN nv = 1 THEN 'EUR' END AS unit, CASE WHEN nv = 1 THEN period END AS period, CASE WHEN nv = 1 THEN n ELSE least(n, 5) END AS n_citations,
-  CASE WHEN nv = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CASE WHEN nv = 1 THEN '' ELSE 'the question matches ' || nv || ' different tagged values for ' || period ||
-  ', so it does not identify one. A figure can be reported per segment or component, and one label can be declared for more than one concept.' END AS reason FROM g"""
+  CASE WHEN nv = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CASE WHEN nv = 1 THEN '' ELSE {_filled_sql(L.SEVERAL, 'nv', 'period')} END AS reason FROM g"""
 
 
 def _order_facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,8 +261,7 @@ APPLY_SQL = f"""{PROSE_PAIRS_SQL}, p AS (SELECT * FROM k WHERE fs % 5 <> 0) SELE
 
 def index_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Facts and pairs of each document and, with document -1, of all."""
-    n = _order_facts(spark, sf).groupBy("document_id").agg(F.count("*").alias("facts")).join(_pairs(spark, sf).groupBy("document_id").agg(F.count("*").alias("prose_pairs")), "document_id", "left")
-    return n.rollup("document_id").agg(F.sum("facts").alias("facts"), F.coalesce(F.sum("prose_pairs"), F.lit(0)).alias("prose_pairs")).withColumn("document_id", F.coalesce("document_id", F.lit(-1).cast("long")))
+    return L.index_summary(_order_facts(spark, sf), _pairs(spark, sf)).withColumn("document_id", F.coalesce("document_id", F.lit(-1).cast("long")))
 
 
 SUMMARY_SQL = f"""{PROSE_PAIRS_SQL}, n AS (SELECT document_id, count(*) AS facts FROM f GROUP BY ALL), p AS (SELECT document_id, count(*) AS pairs FROM k WHERE fs % 5 <> 0 GROUP BY ALL)
@@ -265,10 +270,11 @@ SELECT coalesce(document_id, -1)::BIGINT AS document_id, sum(facts)::BIGINT AS f
 
 def confirmation(spark: SparkSession, sf: str) -> DataFrame:
     """Each line's box against the other boxes of its page, as found places: best overlap per line, by order."""
-    b = boxes(spark, sf).select("l_orderkey", "n", "page", V.span(*[F.col(c) for c in ("page", "x0", "y0", "x1", "y1")]).alias("a"))
-    other = b.select("l_orderkey", "page", F.col("n").alias("m"), F.col("a").alias("c"))
-    best = b.join(other, ["l_orderkey", "page"], "left").groupBy("l_orderkey", "n").agg(F.coalesce(F.max(F.when(F.col("n") != F.col("m"), V.iou(F.col("a"), F.col("c")))), F.lit(0.0)).alias("best"))
-    got = L.confirmation(best.withColumnRenamed("l_orderkey", "document_id"))
+    b = boxes(spark, sf).select(F.col("l_orderkey").alias("document_id"), "n", "page", V.span(*[F.col(c) for c in ("page", "x0", "y0", "x1", "y1")]).alias("span"))
+    # every other box of the page, told apart by the number that it isn't
+    each = b.select("document_id", "page", F.col("n").alias("m"), F.col("span").alias("other"))
+    found = b.join(each, ["document_id", "page"]).where("n <> m").select("document_id", "n", F.col("other").alias("span"))
+    got = L.confirmation(L.best_overlaps(b, found, ["document_id", "n"]))
     return got.select("document_id", "checked", "confirmed", F.round("confirmed_rate", 9).alias("confirmed_rate"), F.round("median_iou", 9).alias("median_iou"))
 
 

@@ -76,14 +76,14 @@ def corpus(spark: SparkSession, sf: str, scope: str = "source") -> DataFrame:
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Every benchmark passage's first sentence."""
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.sentences(F.col("text"))[0].alias("text"))
+    """Every benchmark passage, whole."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 DOCS_SQL = f"""d AS (SELECT doc_id, source, lang, text, {sql_tokens("text")} AS t FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d), u AS (SELECT doc_id, source, lang, len(t) AS length, unnest(t) AS term FROM d),
 tf AS (SELECT doc_id, source, lang, length, term, count(*) AS tf FROM u GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
-QUESTIONS_SQL = f"""q AS (SELECT item_id AS query_id, text AS passage, {sql_sentences("text")}[1] AS text FROM benchmark)"""
+QUESTIONS_SQL = f"""q AS (SELECT item_id AS query_id, text AS passage, text FROM benchmark)"""
 
 
 def _bm25_sql(text: str, k1: float, b: float, name: str, top: int, scope: str = "") -> str:
@@ -119,7 +119,7 @@ def bm25_scoped_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _out(R.bm25(q, R.index(corpus(spark, sf)), TOP_K, scoped=True))
 
 
-SCOPED_SQL = f"""WITH {DOCS_SQL}, q AS (SELECT item_id AS query_id, 'src' || item_id % 20 AS scope, {sql_sentences("text")}[1] AS text FROM benchmark), {_bm25_sql('text', 1.5, 0.75, 'h', 10, 'source')}
+SCOPED_SQL = f"""WITH {DOCS_SQL}, q AS (SELECT item_id AS query_id, 'src' || item_id % 20 AS scope, text FROM benchmark), {_bm25_sql('text', 1.5, 0.75, 'h', 10, 'source')}
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM h"""
 
 
@@ -179,15 +179,15 @@ BEST_SENTENCE_SQL = f"WITH {BEST_SQL} SELECT query_id, doc_id, sentence, round(s
 
 
 def grounding(spark: SparkSession, sf: str) -> DataFrame:
-    """How far each document's first sentence rests on the next benchmark passage."""
-    d = table(spark, sf, "documents").select("doc_id", T.sentences(F.col("text"))[0].alias("answer"))
+    """How far each document rests on the next benchmark passage."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("answer"))
     b = table(spark, sf, "benchmark")
     n = b.agg((F.max("item_id") + 1).alias("n"))
     got = d.join(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n")).join(b.select("item_id", "text"), "item_id")
     return got.select("doc_id", "item_id", F.round(T.grounding(F.col("answer"), F.col("text")), 6).alias("grounding"))
 
 
-GROUNDING_SQL = f"""WITH n AS (SELECT max(item_id) + 1 AS n FROM benchmark), d AS (SELECT doc_id, {sql_sentences("text")}[1] AS answer, doc_id % n AS item_id FROM documents, n),
+GROUNDING_SQL = f"""WITH n AS (SELECT max(item_id) + 1 AS n FROM benchmark), d AS (SELECT doc_id, text AS answer, doc_id % n AS item_id FROM documents, n),
 t AS (SELECT doc_id, item_id, list_distinct(list_filter({sql_tokens("answer")}, lambda t: length(t) > 3)) AS terms, {sql_tokens("text")} AS p FROM d JOIN benchmark USING (item_id))
 SELECT doc_id, item_id, CASE WHEN len(terms) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(terms, list_distinct(p)))::DOUBLE / len(terms), 6) END AS grounding FROM t"""
 

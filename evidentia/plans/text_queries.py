@@ -91,19 +91,19 @@ LINES_SQL = "l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)
 
 
 def narrative_score(spark: SparkSession, sf: str) -> DataFrame:
-    """How like narrative the first lines of benchmark items are to labels: the first 40 letters of the items of its block of ten ids that are at most 3 ids away, itself included. No other pairs are scored."""
+    """How like narrative each benchmark item's sentence is to every item's whole text as a label, where they share a stem: all other scores are 0."""
     b = table(spark, sf, "benchmark")
     one = b.select("item_id", F.concat(F.lit("Der Betrag stieg und war mit "), F.col("item_id").cast("string"), F.lit(" höher als "), F.col("text")).alias("s"))
-    label = b.select(F.col("item_id").alias("label_id"), F.left("text", F.lit(40)).alias("label"))
-    near = F.abs(F.col("item_id") - F.col("label_id")) <= 3
-    return one.join(label, F.floor(F.col("item_id") / 10) == F.floor(F.col("label_id") / 10)).where(near).select(
+    label = b.select(F.col("item_id").alias("label_id"), F.col("text").alias("label"))
+    said, asked = one.select("item_id", F.explode(T.stems(F.col("s"))).alias("stem")), label.select("label_id", F.explode(T.stems(F.col("label"))).alias("stem"))
+    return said.join(asked, "stem").select("item_id", "label_id").distinct().join(one, "item_id").join(label, "label_id").select(
         "item_id", "label_id", F.round(T.narrative_score(F.col("s"), F.col("label")), 9).alias("score"))
 
 
 NARRATIVE_SQL = rf"""WITH o AS (SELECT item_id, 'Der Betrag stieg und war mit ' || item_id || ' höher als ' || text AS s FROM benchmark),
-b AS (SELECT item_id AS label_id, left(text, 40) AS label FROM benchmark),
+b AS (SELECT item_id AS label_id, text AS label FROM benchmark),
 p AS (SELECT item_id, label_id, {_sql_stems("label")} AS a, {_sql_stems("s")} AS c, regexp_extract_all(s, '[\p{{L}}\p{{Nl}}\p{{No}}]+') AS w,
-  len(regexp_extract_all(s, '-?\p{{Nd}}[\p{{Nd}}.,]*')) AS n FROM o JOIN b ON item_id // 10 = label_id // 10 AND abs(item_id - label_id) <= 3)
+  len(regexp_extract_all(s, '-?\p{{Nd}}[\p{{Nd}}.,]*')) AS n FROM o, b WHERE len(list_intersect(a, c)) > 0)
 SELECT item_id, label_id, round(CASE WHEN len(a) = 0 OR len(w) < 6 THEN 0.0::DOUBLE ELSE len(list_intersect(a, c))::DOUBLE / len(a) * greatest(0::DOUBLE, 1 - 3 * n::DOUBLE / (n + len(w)))
   * least(1::DOUBLE, len(list_intersect(list_distinct(list_transform(w, lambda x: lower(x))), [{_quoted(T.NARRATIVE)}]))::DOUBLE / 3) END, 9) AS score FROM p"""
 

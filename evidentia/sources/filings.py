@@ -5,8 +5,11 @@ Reports and linkbases are untrusted: they are scanned by a tolerant tag scanner
 
 from __future__ import annotations
 
+import codecs
 import io
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -15,11 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidentia.functions import values as V
 
-# File kinds of a package, its size limit, and the address of the anchors that mark facts.
+# File kinds of a package and its size limit.
 REPORTS, KEPT = (".xhtml", ".html"), (".css", ".png", ".jpg", ".jpeg", ".svg", ".woff2", ".xml", ".xsd")
 MAX_BYTES = 40 * 1024 * 1024
-PROBE = "https://label.invalid"
-STYLE = f'<style type="text/css">a[href^="{PROBE}"] {{ color: inherit !important; text-decoration: none !important; background: none !important; }}</style>'
+MAX_UNPACKED = 20 * MAX_BYTES
+#: Where the anchors that mark facts lead: nowhere.
+PROBE = "https://facts.evidentia.invalid"
+DECLARED = re.compile(rb"""<\?xml[^>]*encoding\s*=\s*["']([A-Za-z0-9._-]+)|<meta[^>]*charset\s*=\s*["']?([A-Za-z0-9._-]+)""", re.I)
+STYLE = f'<style type="text/css">a[href^="{PROBE}/"] {{ all: unset !important; }}</style>'
 
 
 def resolve_url(url: Column, base: str) -> Column:
@@ -43,7 +49,10 @@ def to_fetch(found: DataFrame, held: DataFrame, count: int) -> DataFrame:
 
 
 def unpack(archives: DataFrame) -> DataFrame:
-    """filing_id, name, is_report, content, error of archives(filing_id, content). What is no zip is the report itself; of a zip the largest page is."""
+    """filing_id, name, is_report, content, error of archives(filing_id, content). What is no zip is the report itself; of a zip the largest page is.
+
+    An archive that can't be read, or that would unpack to more than MAX_UNPACKED bytes, is a row with its error.
+    """
     kind = archives.schema["filing_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,12 +65,14 @@ def unpack(archives: DataFrame) -> DataFrame:
                     else:
                         with zipfile.ZipFile(io.BytesIO(raw)) as z:
                             files = [i for i in z.infolist() if not i.is_dir()]
+                            if sum(i.file_size for i in files) > MAX_UNPACKED:
+                                raise zipfile.BadZipFile(f"unpacks to more than {MAX_UNPACKED} bytes")
                             pages = [i for i in files if i.filename.lower().endswith(REPORTS)]
                             if pages:
                                 main = max(pages, key=lambda i: i.file_size)
                                 rows.append((filing, "report.xhtml", True, z.read(main), None))
                                 rows += [(filing, i.filename.rpartition("/")[2], False, z.read(i), None) for i in files if i is not main and i.filename.lower().endswith(KEPT)]
-                except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError) as e:
+                except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError) as e:
                     rows = [(filing, None, False, None, str(e))]
                 if rows:
                     yield pd.DataFrame(rows, columns=["filing_id", "name", "is_report", "content", "error"])
@@ -69,6 +80,18 @@ def unpack(archives: DataFrame) -> DataFrame:
     return archives.select("filing_id", "content").mapInPandas(run, f"filing_id {kind}, name string, is_report boolean, content binary, error string")
 
 
+def decoded(raw: bytes) -> str:
+    """Text of a report or linkbase by its byte order mark, else the encoding that its head declares, else UTF-8; what can't be read is replaced."""
+    for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
+        if raw.startswith(mark):
+            return raw.decode(name, "replace")
+    said = DECLARED.search(raw[:1024])
+    try:
+        return raw.decode((said.group(1) or said.group(2)).decode("ascii") if said else "utf-8", "replace")
+    except LookupError:
+        return raw.decode("utf-8", "replace")
+
+
 def _local(tag: str) -> str:
     return tag.rpartition(":")[2]
 
@@ -82,6 +105,7 @@ class _Scan(HTMLParser):
         self.contexts: dict[str, dict[str, str]] = {}
         self.units: dict[str, list[str]] = {}
         self.marks: list[tuple[int, str]] = []
+        self._text = text
         self._open: list[int] = []
         self._context = self._unit = self._field = None
         self._lines = [0]
@@ -128,7 +152,7 @@ class _Scan(HTMLParser):
         name = _local(tag)
         if name == "nonfraction" and self._open:
             self._open.pop()
-            self.marks.append((self._at() + len(tag) + 3, "</a>"))
+            self.marks.append((self._text.find(">", self._at()) + 1 or len(self._text), "</a>"))
         elif name == "head" and self.head is None:
             self.head = self._at()
         elif name == "context":
@@ -170,7 +194,7 @@ def facts(reports: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for doc, raw in zip(x["document_id"], x["content"], strict=True):
-                scan = _Scan(bytes(raw or b"").decode("utf-8", "replace"))
+                scan = _Scan(decoded(bytes(raw or b"")))
                 rows = []
                 for i, f in enumerate(scan.facts):
                     scale = f.get("scale", "")
@@ -222,7 +246,7 @@ def linkbases(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for file, raw in zip(x["file"], x["content"], strict=True):
-                p = _Linkbase(bytes(raw or b"").decode("utf-8", "replace"))
+                p = _Linkbase(decoded(bytes(raw or b"")))
                 rows = [(file, n, "loc", k, h, "", "", "") for n, k, h in p.loc] + [(file, n, "arc", a, b, "", "", "") for n, a, b in p.arc] + [(file, n, "label", k, "", lang, role, t.strip()) for n, k, lang, role, t in p.label]
                 if rows:
                     yield pd.DataFrame(rows, columns=["file", "seq", "what", "key", "other", "lang", "role", "text"])

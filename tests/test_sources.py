@@ -122,3 +122,26 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got == {(r["caller"], r["event_id"], r["accepted"], r["remaining"]) for r in O.rate_limit(df, 2, 5.0).collect()}
     as_answers = lambda d: d.select(F.col("caller").alias("route"), F.lit("answered").alias("status"), F.col("ts").alias("latency_ms"))
     assert sorted(map(tuple, jobs.run_counters(as_answers(stream)).collect())) == sorted(map(tuple, O.counters(as_answers(df)).collect()))
+
+
+def test_broken_archives_are_rows_with_an_error(spark):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("r.xhtml", "<html>" + "a b c " * 500 + "</html>")
+    raw = bytearray(held.getvalue())
+    raw[60:90] = bytes(30)  # the deflate stream
+    rows = spark.createDataFrame([("a", bytes(raw)), ("b", held.getvalue()), ("c", b"PK\x03\x04 no zip")], "filing_id string, content binary")
+    got = {r["filing_id"]: r for r in filings.unpack(rows).collect()}
+    assert got["a"]["error"] and got["c"]["error"] and got["b"]["error"] is None and got["b"]["is_report"]
+
+
+def test_stamp_of_end_tags_with_white_space():
+    got = filings.stamp('<html><body><ix:nonFraction name="a">1</ix:nonFraction >.</body></html>')
+    assert '<ix:nonFraction name="a">1</ix:nonFraction ></a>.' in got
+
+
+def test_declared_encodings(spark):
+    text = '<?xml version="1.0" encoding="{}"?><html><ix:nonFraction name="n:Umsätze" contextRef="c">12</ix:nonFraction></html>'
+    rows = [(n, text.format(n).encode(n)) for n in ("iso-8859-1", "utf-8", "utf-16")] + [("none", text.format("no-such").encode())]
+    got = {r["document_id"]: r["concept"] for r in filings.facts(spark.createDataFrame(rows, "document_id string, content binary")).collect()}
+    assert got == {n: "n:Umsätze" for n in ("iso-8859-1", "utf-8", "utf-16", "none")}
