@@ -27,18 +27,14 @@ def run_counters(answers: DataFrame, out: str | None = None) -> DataFrame:
     return spark.read.parquet(f"{out}/{n % 2}")
 
 
-def limited(requests: DataFrame, limit: int, window_seconds: float, forget_seconds: float = 86_400.0) -> DataFrame:
+def limited(requests: DataFrame, limit: int, window_seconds: float) -> DataFrame:
     """caller, event_id, accepted, remaining of a stream requests(caller, ts double, event_id): state is each caller's accepted times within the window.
 
-    Requests of one caller must arrive in order of ts across batches; within one batch they are sorted. A caller from whom nothing was
-    processed for forget_seconds (and a window at least) is forgotten, so the state holds recent callers only.
+    Requests of one caller must arrive in order of ts across batches; within one batch they are sorted. The state
+    is as many times as the limit for each caller that had one accepted; a caller without any is forgotten. (A timeout by the clock would keep a stream over
+    all input at hand from ending.)
     """
-    keep = int(1000 * max(window_seconds, forget_seconds))
-
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         held = list(state.get[0]) if state.exists else []
         x = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
@@ -48,13 +44,15 @@ def limited(requests: DataFrame, limit: int, window_seconds: float, forget_secon
             if ok and limit > 0:
                 held.append(float(ts))
             out.append((key[0], event, ok, limit - len(held) if ok else None))
-        state.update((held,))
-        state.setTimeoutDuration(keep)
+        if held:
+            state.update((held,))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["caller", "event_id", "accepted", "remaining"]).astype({"remaining": "Int32"})
 
     kind = requests.schema["caller"].dataType
     rows = T.StructType().add("caller", kind).add("event_id", "long").add("accepted", "boolean").add("remaining", "integer")
-    return requests.groupBy("caller").applyInPandasWithState(step, rows, "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("caller").applyInPandasWithState(step, rows, "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_limited(requests: DataFrame, limit: int, window_seconds: float) -> DataFrame:
