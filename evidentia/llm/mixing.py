@@ -38,46 +38,31 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-SHAPES = ("capitals", "symbols", "digits", "new", "length", "word", "lines")
-
-
 def with_features(docs: DataFrame) -> DataFrame:
-    """Adds _words (distinct lower-case words), _bins (the bin of each of SHAPES) and _tokens of docs(text).
-
-    One pass leaves the characters that are neither small letters nor common marks; capitals, figures and symbols are counted among these few.
-    """
+    """Adds _words (distinct lower-case words), _bins (shape features) and _tokens of docs(text)."""
     t = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_tokens", n_tokens(t)).withColumn("_all", F.split(F.lower(t), r"[^\p{L}]+")).withColumn("_odd", F.regexp_replace(t, r"[a-z\s.,;:'’\-\p{Ll}\p{Lo}\p{Lm}\p{Lt}]+", ""))
-    rows = rows.withColumn("_words", F.array_distinct("_all"))
+    rows = docs.withColumn("_split", F.split(t, r"\s+")).withColumn("_tokens", n_tokens(t))
     n = F.greatest(F.length(t), F.lit(1))
     size = F.greatest("_tokens", F.lit(1))
-    odd = F.length("_odd")
-    capitals, digits = (odd - F.length(F.regexp_replace("_odd", c, "")) for c in (r"\p{Lu}+", r"\p{N}+"))
+    without = lambda chars: (F.length(t) - F.length(F.regexp_replace(t, chars, ""))) / n
     shape = {
-        "capitals": capitals / n,
-        "symbols": (odd - capitals - digits) / n,
-        "digits": digits / n,
-        "new": F.size("_words") / F.size("_all"),
+        "capitals": without(r"\p{Lu}+"),
+        "symbols": without(r"[^\p{L}\p{N}\s.,;:'’-]+"),
+        "digits": without(r"\p{N}+"),
+        "new": F.size(F.array_distinct("_split")) / size,
         "length": F.log2(n) / 20,
         "word": F.length(t) / size / 20,
-        "lines": (1 + F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))) / size,
+        "lines": F.size(F.split(t, "\n")) / size,
     }
-    bins = [F.least(F.floor(F.sqrt(shape[k]) * BINS), F.lit(BINS)).cast("int") for k in SHAPES]
-    return rows.select(*docs.columns, "_tokens", F.array(*bins).alias("_bins"), "_words")
-
-
-class Classifier:
-    """start (domains), bins (domains, SHAPES, BINS + 1) and words: what a word's presence adds for each domain, as log-weights."""
-
-    def __init__(self, start: list[float], bins: list[list[list[float]]], words: dict[str, list[float]]) -> None:
-        self.start, self.bins, self.words = start, bins, words
+    bins = [F.concat(F.lit(f"{k}="), F.least(F.floor(F.sqrt(v) * BINS), F.lit(BINS)).cast("string")) for k, v in shape.items()]
+    words = F.array_distinct(F.split(F.lower(t), r"[^\p{L}]+"))
+    return rows.select(*docs.columns, "_tokens", F.array(*bins).alias("_bins"), words.alias("_words"))
 
 
-def fit_classifier(labelled: DataFrame, domains: list[str]) -> Classifier:
-    """Naive Bayes from labelled(domain, _bins, _words).
+def fit_classifier(labelled: DataFrame, domains: list[str]) -> tuple[list[float], dict[str, list[float]]]:
+    """Start log-weights of the domains, and for each feature what it adds, from labelled(domain, _bins, _words).
 
-    labelled is a bounded sample; what comes to the driver are counts of its bins and of its words that tell domains apart: all of
-    those that reach LEAST_G.
+    labelled is a bounded sample; what comes to the driver are counts of the bins and of the words that reach LEAST_G.
     """
     rows = staged(labelled.select("domain", "_bins", "_words"), "labelled")
     per = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -90,38 +75,38 @@ def fit_classifier(labelled: DataFrame, domains: list[str]) -> Classifier:
     gain = reduce(lambda a, b: a + b, ((n[i] / max(1, total)) * (rates[i] * F.log(rates[i] / mean) + (1 - rates[i]) * F.log((1 - rates[i]) / (1 - mean))) for i in range(len(domains))))
     words = rows.select("domain", F.explode("_words").alias("f")).where("f <> ''").groupBy("f").agg(F.count("*").alias("n"), *one).where(F.col("n") >= LEAST_DOCS)
     words = words.where((mean < 1) & (2 * total * gain >= LEAST_G)).orderBy("f").collect()
-    counted = {(r["pos"], r["bin"]): r for r in rows.select("domain", F.posexplode("_bins").alias("pos", "bin")).groupBy("pos", "bin").agg(*one).collect()}
+    bins = rows.select("domain", F.explode("_bins").alias("f")).groupBy("f").agg(*one).collect()
     drop_staged(rows)
-    log = lambda count, of, kinds: float(np.log((count + _SMOOTH) / (of + _SMOOTH * kinds)))
-    start = [log(c, total, len(domains)) for c in n]
-    bins = [[[log(counted[k, b][f"n{i}"] if (k, b) in counted else 0, n[i], BINS + 1) for b in range(BINS + 1)] for k in range(len(SHAPES))] for i in range(len(domains))]
+    start = [float(np.log((c + _SMOOTH) / (total + _SMOOTH * len(domains)))) for c in n]
     weights: dict[str, list[float]] = {}
+    for r in bins:
+        weights[r["f"]] = [float(np.log((r[f"n{i}"] + _SMOOTH) / (n[i] + _SMOOTH * (BINS + 1)))) for i in range(len(domains))]
     for r in words:
         p = [(r[f"n{i}"] + _SMOOTH) / (n[i] + 2 * _SMOOTH) for i in range(len(domains))]
-        weights[r["f"]] = [float(np.log(x / (1 - x))) for x in p]
+        weights[f"word:{r['f']}"] = [float(np.log(x / (1 - x))) for x in p]
         start = [s + float(np.log(1 - x)) for s, x in zip(start, p, strict=True)]
-    return Classifier(start, bins, weights)
+    return start, weights
 
 
-def with_posteriors(rows: DataFrame, model: Classifier) -> DataFrame:
-    """Adds p0, p1, .. over the domains to rows with _bins and _words. The model is a literal: its size is bounded by the sample it was fitted on.
+def with_posteriors(rows: DataFrame, start: list[float], weights: dict[str, list[float]]) -> DataFrame:
+    """Adds p0, p1, .. over the domains to rows with _bins and _words. The features' table is a literal: its size is bounded by the sample it was fitted on.
 
     The log-weights are a column of their own, so they are summed once for each row.
     """
     row = lambda v: F.array(*[F.lit(x) for x in v])
-    d = range(len(model.start))
-    logits = [reduce(lambda a, b: a + b, [F.get(row(model.bins[i][k]), F.col("_bins")[k]) for k in range(len(SHAPES))], F.lit(model.start[i])) for i in d]
-    if model.words:
-        # words that tell domains apart come first by their places in one literal, so that each weighs by a look-up of its place
-        known = F.array(*map(F.lit, model.words))
-        found = F.transform(F.array_intersect("_words", known), lambda w: F.array_position(known, w).cast("int") - 1)
-        rows = rows.withColumn("_found", found)
-        summed = lambda weights: F.aggregate("_found", F.lit(0.0), lambda s, at: s + F.get(weights, at))
-        logits = [x + summed(row([w[i] for w in model.words.values()])) for i, x in zip(d, logits)]
-    rows = rows.withColumn("_logit", F.array(*logits)).withColumn("_most", F.array_max("_logit"))
-    rows = rows.withColumns({f"p{i}": F.exp(F.col("_logit")[i] - F.col("_most")) for i in d})
-    total = reduce(lambda x, y: x + y, (F.col(f"p{i}") for i in d))
-    return rows.withColumn("_sum", total).withColumns({f"p{i}": F.col(f"p{i}") / F.col("_sum") for i in d}).drop("_logit", "_most", "_sum", "_found")
+    if weights:
+        words = [k.removeprefix("word:") for k in weights if k.startswith("word:")]
+        known = F.array(*map(F.lit, words)).cast("array<string>")
+        held = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), row(v))])
+        found = F.concat("_bins", F.transform(F.array_intersect("_words", known), lambda w: F.concat(F.lit("word:"), w)))
+        none = row([0.0] * len(start))
+        logit = F.aggregate(found, row(start), lambda s, f: F.zip_with(s, F.coalesce(F.try_element_at(held, f), none), lambda a, b: a + b))
+    else:
+        logit = row(start)
+    rows = rows.withColumn("_logit", logit).withColumn("_most", F.array_max("_logit"))
+    rows = rows.withColumns({f"p{i}": F.exp(F.col("_logit")[i] - F.col("_most")) for i in range(len(start))})
+    total = reduce(lambda x, y: x + y, (F.col(f"p{i}") for i in range(len(start))))
+    return rows.withColumn("_sum", total).withColumns({f"p{i}": F.col(f"p{i}") / F.col("_sum") for i in range(len(start))}).drop("_logit", "_most", "_sum")
 
 
 def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], steps: int = STEPS) -> list[list[float]]:
@@ -187,12 +172,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     given = labels.select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("domain")).where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains))
     picked = bounded_sample(given, max_labelled, "doc_id", "domain")
     labelled = with_features(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
-    model = fit_classifier(labelled, domains)
+    start, weights = fit_classifier(labelled, domains)
 
     p = [F.col(f"p{i}") for i in range(len(domains))]
     u = F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
     rows = with_features(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), u.alias("u"), "text"))
-    rows = staged(with_posteriors(rows, model).select("doc", "u", F.col("_tokens").alias("n_tokens"), *p), "posteriors")
+    rows = staged(with_posteriors(rows, start, weights).select("doc", "u", F.col("_tokens").alias("n_tokens"), *p), "posteriors")
     vectors = fit_rates(rows.select("n_tokens", *p), domains, targets)
     out = rows.withColumn("rate", apply_rates(F.lit(1.0), p, vectors))
     copies = (F.floor("rate") + (F.col("u") < F.col("rate") - F.floor("rate")).cast("int")).cast("long")
