@@ -6,7 +6,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from evidentia.llm import near_dedup
+from evidentia.llm.common import placed
 from evidentia.llm.near_dedup import COMMON, Shingler, Weights, common_shingles, keep_one, near_duplicates, sketch, weighted_jaccard
 
 VOCAB = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
@@ -87,6 +89,44 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     assert left.columns == docs.columns and left.count() == len(set(classes))
 
 
+def test_classes_by_the_inverse_frequency_of_every_shingle(spark, monkeypatch):
+    """Texts that share a passage of many others and differ in rare words are alike by plain counts, but not by tf-idf."""
+    monkeypatch.setattr(near_dedup, "LOT", 4)
+    rng = random.Random(5)
+    passage = rng.choices(VOCAB, k=60)
+    texts = [" ".join([*passage, *rng.choices(VOCAB, k=5)]) for _ in range(30)]  # 56 of 66 shingles of two are shared: 0.85
+    for _ in range(25):
+        base = rng.choices(VOCAB, k=150)
+        texts += [" ".join(base), " ".join(edited(rng, base, 2))]
+    texts += ["", None, texts[0], "one two", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    one = Shingler()
+    found = [one(t or "") for t in texts]
+    shingles, n = np.unique(np.concatenate([f[0] for f in found]), return_counts=True)
+    sets = [(s, c * (1 + np.log((1 + len(texts)) / (1 + n[np.searchsorted(shingles, s)])))) for s, c in found]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    flat = 0
+    for i, j in combinations(range(len(texts)), 2):
+        flat += len(sets[i][0]) > 0 and weighted_jaccard((sets[i][0], found[i][1]), (sets[j][0], found[j][1])) >= 0.8
+        if (texts[i] or "") == (texts[j] or "") or len(sets[i][0]) and len(sets[j][0]) and weighted_jaccard(sets[i], sets[j]) >= 0.8:
+            root[find(j)] = find(i)
+    want = [find(i) for i in range(len(texts))]
+    assert flat > 400 and len(set(want)) > 50
+    names = {tuple(sorted(i for i, w in enumerate(want) if w == c)) for c in set(want)}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(min(c) for c in names)
+    rows = placed(docs, "docs").select("file", "row", "doc.doc_id", "doc.text")
+    classes = {}
+    for r in near_duplicates(rows, every=True).collect():
+        classes.setdefault(r["class"], []).append(r["doc_id"])
+    assert {tuple(sorted(c)) for c in classes.values()} == names
+
+
 def test_empty_table_and_clashing_names(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert keep_one(docs).count() == 0
