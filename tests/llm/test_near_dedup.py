@@ -139,3 +139,45 @@ def test_words_are_those_of_the_pattern():
     for a, b in (("Don't “stop” me, now: a_b…", "don t stop me now a b"), ("Größe äöü ñandú", "größe äöü ñandú"), ("3×4÷2", "3 4 2"), ("हिन्दी में text", " ".join(near_dedup._WORD.findall("हिन्दी में text")))):
         assert one(a)[0].tolist() == one(b)[0].tolist()
     assert one("a" * 40 + "b" + "c" * 40)[0].tolist() != one("a" * 40 + "d" + "c" * 40)[0].tolist()
+
+
+def test_lots_times_parts_grow_no_faster_than_the_shingles():
+    for size in (10**8, 10**9, 10**11, 3 * 10**12):
+        documents = size // 3300
+        parts = 2 * max(12, size // 4 // near_dedup.TASK_SHINGLES)
+        rows = near_dedup.lot_rows(size, documents, parts)
+        assert rows * 3300 <= near_dedup.LOT_BYTES
+        if rows * 3300 < near_dedup.LOT_BYTES * 0.99:
+            assert documents / rows * parts * near_dedup.FULL <= size / near_dedup.SHINGLE_BYTES * 1.01
+    assert near_dedup.lot_rows(0, 0, 24) >= 1
+    assert near_dedup.lot_rows(100 << 30, 100, 10_000) == 1  # texts larger than a lot may be
+
+
+@pytest.mark.parametrize("held", [2_000_000, 40])
+def test_frequencies_of_lots_sent_in_pieces_are_exact(spark, monkeypatch, held):
+    monkeypatch.setattr(near_dedup, "LOT_BYTES", 1500)  # lots of a few rows
+    monkeypatch.setattr(near_dedup, "HELD", held)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(VOCAB[:9], k=rng.randrange(0, 40))) for _ in range(120)]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "file long, row long, text string").coalesce(2)
+    got, of = near_dedup.frequencies(rows, len(texts))
+    one, counts, lots = Shingler(), {}, {}
+    for r in rows.select("row", "text", of.alias("lot")).collect():
+        for s in one(r["text"])[0].view(np.int64).tolist():
+            counts[s] = counts.get(s, 0) + 1
+            lots.setdefault(r["lot"], set()).add(s)
+    assert len(lots) > 5
+    found = {}
+    for r in got.collect():
+        for s, n in zip(r["shingles"], r["n"], strict=True):
+            assert n == counts[s]
+            found.setdefault(r["lot"], set()).add(s)
+    assert found == {k: w for k, v in lots.items() if (w := {s for s in v if counts[s] > 1})}
+
+
+def test_texts_of_ids_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    texts = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "text string")
+    ids = texts.where("text < 'c'").distinct().select(near_dedup.text_id(F.col("text")).alias("text_id"), F.col("text").alias("root"))
+    for most in (2_000_000, 0):
+        monkeypatch.setattr(near_dedup, "IDS", most)
+        assert sorted((r["text"], r["root"]) for r in near_dedup.texts_of(texts, ids).collect()) == [("a", "a"), ("b", "b")]
