@@ -26,6 +26,8 @@ LEAST_G = 24.0
 TARGETS = {"high": 0.9, "low": 0.1, "toxic": 0.0}
 STEPS, CLOSE, CHAIN, BINS = 40, 1e-4, 10, 12
 _SMOOTH = 0.5
+#: What \s stands for beside the space; runs of characters that are neither capitals nor symbols nor digits.
+_WHITE, _PLAIN = "\t\n\x0b\f\r", r"[a-z\s.,;:'-]+"
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -39,23 +41,34 @@ def n_tokens(text: Column) -> Column:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """Adds _words (distinct lower-case words), _bins (shape features) and _tokens of docs(text)."""
+    """Adds _words (distinct lower-case words), _bins (shape features) and _tokens of docs(text).
+
+    Regular expressions see little of a text: white space is parted as spaces, words are sought in its distinct parts, and odd characters in
+    what _PLAIN leaves. Each is a column of its own, so that it is computed once.
+    """
     t = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_split", F.split(t, r"\s+")).withColumn("_tokens", n_tokens(t))
-    n = F.greatest(F.length(t), F.lit(1))
+    spaced = t
+    for c in _WHITE:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    rows = docs.withColumns({"_spaced": spaced, "_odd": F.regexp_replace(t, _PLAIN, ""), "_n": F.greatest(F.length(t), F.lit(1))})
+    rows = rows.withColumn("_split", F.array_remove(F.split("_spaced", " "), ""))
+    rows = rows.withColumns({"_own": F.array_distinct("_split"), "_tokens": F.size("_split").cast("long")})
+    n = F.col("_n")
     size = F.greatest("_tokens", F.lit(1))
-    without = lambda chars: (F.length(t) - F.length(F.regexp_replace(t, chars, ""))) / n
+    held = lambda chars: (F.length("_odd") - F.length(F.regexp_replace("_odd", chars, ""))) / n
+    # white space at an end parts nothing from the rest, which counts as one more
+    ends = (F.col("_spaced").startswith(" ") | F.col("_spaced").endswith(" ") | (F.col("_spaced") == "")).cast("int")
     shape = {
-        "capitals": without(r"\p{Lu}+"),
-        "symbols": without(r"[^\p{L}\p{N}\s.,;:'’-]+"),
-        "digits": without(r"\p{N}+"),
-        "new": F.size(F.array_distinct("_split")) / size,
+        "capitals": held(r"\p{Lu}+"),
+        "symbols": held(r"[^\p{L}\p{N}\s.,;:'’-]+"),
+        "digits": held(r"\p{N}+"),
+        "new": (F.size("_own") + ends) / size,
         "length": F.log2(n) / 20,
         "word": F.length(t) / size / 20,
         "lines": F.size(F.split(t, "\n")) / size,
     }
     bins = [F.concat(F.lit(f"{k}="), F.least(F.floor(F.sqrt(v) * BINS), F.lit(BINS)).cast("string")) for k, v in shape.items()]
-    words = F.array_distinct(F.split(F.lower(t), r"[^\p{L}]+"))
+    words = F.array_distinct(F.split(F.lower(F.array_join("_own", " ")), r"[^\p{L}]+"))
     return rows.select(*docs.columns, "_tokens", F.array(*bins).alias("_bins"), words.alias("_words"))
 
 

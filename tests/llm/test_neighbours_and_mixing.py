@@ -99,3 +99,34 @@ def test_mix_of_odd_rows(spark):
     assert len(rows) == 2 and rows[0]["rate"] == rows[1]["rate"] and rows[0]["copies"] == rows[1]["copies"]
     assert [r[0] for r in spark.createDataFrame([(" a\n b ",), ("",), (None,)], "t string").select(n_tokens(F.col("t"))).collect()] == [2, 0, 0]
     assert with_features(docs).count() == 5
+
+
+def test_features_are_those_of_the_whole_text(spark):
+    import re
+    import unicodedata
+
+    texts = ["", " a", "a ", "\t\n", "A1 ’x  y", "ΑΣ Σ ΑΣ.Σ", " x y", "\x0b\x0c\r", "a\x0bb\x0cc\rd  e", "😀 ok #1 ½", None, "a\x85b c", "x_y-z 'q' ’", "a b a b", "  a  a  ", "A's, b; C: D. -", "Ab\nab aB\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = with_features(docs)
+    kind = lambda c: unicodedata.category(c)
+    for r in rows.collect():
+        t = texts[r["doc_id"]] or ""
+        n, parts = max(1, len(t)), re.split(r"[ \t\n\x0b\f\r]+", t)
+        tokens = sum(map(bool, parts))
+        size = max(1, tokens)
+        shape = {
+            "capitals": sum(kind(c) == "Lu" for c in t) / n,
+            "symbols": sum(kind(c)[0] not in "LN" and c not in " \t\n\x0b\f\r.,;:'’-" for c in t) / n,
+            "digits": sum(kind(c)[0] == "N" for c in t) / n,
+            "new": len(set(parts)) / size,
+            "length": np.log2(n) / 20,
+            "word": len(t) / size / 20,
+            "lines": len(t.split("\n")) / size,
+        }
+        assert r["_tokens"] == tokens
+        assert r["_bins"] == [f"{k}={min(12, int(np.floor(np.sqrt(v) * 12)))}" for k, v in shape.items()]
+        words = "".join(c if kind(c)[0] == "L" else " " for c in t.lower()).split()
+        assert [w for w in r["_words"] if w] == list(dict.fromkeys(words))
+    # a whole text goes through one regular expression only
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(coalesce(text") == 1
