@@ -181,3 +181,38 @@ def test_texts_of_ids_by_broadcast_and_by_shuffle(spark, monkeypatch):
     for most in (2_000_000, 0):
         monkeypatch.setattr(near_dedup, "IDS", most)
         assert sorted((r["text"], r["root"]) for r in near_dedup.texts_of(texts, ids).collect()) == [("a", "a"), ("b", "b")]
+
+
+def test_pairs_of_a_crowded_bucket_are_never_rows(spark):
+    """Texts near to all others of their bucket, but linked to few: what goes from task to task grows as they do, not as their pairs."""
+    n = 400
+    rng = np.random.default_rng(4)
+    mark = rng.integers(0, 2**62, 64)
+    marks = [np.where((np.arange(64) % 4 == 0) & (np.arange(64) > 3), rng.integers(0, 2**62, 64), mark) for _ in range(n)]  # any two agree in 49 of 64 and one band
+    shared = " ".join(rng.choice(VOCAB, 300))
+    texts = [f"{shared} " + " ".join(f"w{i // 2}x{k}y" for k in range(100)) + f" end{i}" for i in range(n)]  # two and two are links
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string").select("row", "text", near_dedup.text_id(F.col("text")).alias("id"))
+    at = {r["row"]: r["id"] for r in rows.select("row", "id").collect()}
+    held = spark.createDataFrame([(at[i], None, m.tolist()) for i, m in enumerate(marks)], "id binary, n array<int>, mark array<long>")
+    open_ = spark.createDataFrame([(1, at[i], at[i], at[0], m.tolist()) for i, m in enumerate(marks)], "key long, id binary, root binary, main binary, mark array<long>")
+    written = {}
+
+    def count(df, name):
+        out = staged(df, name)
+        written[name] = sum(len(v) if isinstance(v, (list, tuple)) else 1 for r in out.drop("text", "mark", "n").collect() for v in r)
+        return out
+
+    one, flat = Shingler(), Weights(np.zeros(0, np.uint64), np.zeros(0))
+
+    def weights():
+        return lambda text, _: (lambda s, c: (s, flat(s, c)))(*one(text))
+
+    staged = near_dedup.staged
+    near_dedup.staged = count
+    try:
+        links = near_dedup.crossing(open_, rows.select("text"), held, weights, 0.8, 4)
+        got = {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in links.collect()}
+    finally:
+        near_dedup.staged = staged
+    assert got == {frozenset((bytes(at[i]), bytes(at[i + 1]))) for i in range(0, n, 2)}
+    assert max(written.values()) <= 10 * n
