@@ -168,12 +168,13 @@ class Batch:
         joined = "".join(words)
         self.spelt = (row, at, [np.frombuffer(joined[ends[r] + a].encode("utf-8", "surrogatepass"), np.uint8) for r, a in zip(row, at, strict=True)])
 
-    def weights(self, vocab: Vocabulary, scores: np.ndarray) -> np.ndarray:
-        """Log-weight of every edge, -inf where there is none."""
-        out = np.append(scores, [-np.inf, -np.inf])[self.ids]  # BYTES and NONE index the two from the end
+    def weights(self, vocab: Vocabulary, scores: np.ndarray, words_last: bool = False) -> np.ndarray:
+        """Log-weight of every edge, -inf where there is none; words_last: (t, l, n)."""
+        ids = np.ascontiguousarray(self.ids.transpose(1, 2, 0)) if words_last else self.ids
+        out = np.append(scores, [-np.inf, -np.inf])[ids]  # BYTES and NONE index the two from the end
         row, at, raw = self.spelt
         if len(row):
-            out[row, at, 0] = [scores[vocab.byte_ids[b]].sum() for b in raw]
+            out[(at, 0, row) if words_last else (row, at, 0)] = [scores[vocab.byte_ids[b]].sum() for b in raw]
         return out
 
 
@@ -222,37 +223,50 @@ def likelihoods(vocab: Vocabulary, scores: np.ndarray, words: Sequence[str]) ->
 def best(vocab: Vocabulary, scores: np.ndarray, words: Sequence[str]) -> list[tuple[int, ...]]:
     """Ids of each word's segmentation of largest summed score; of equal ones that with the longest last piece, and so on backwards."""
     out: list[tuple[int, ...]] = [()] * len(words)
+    for rows, ids, ends in best_flat(vocab, scores, words):
+        flat, start = ids.tolist(), 0
+        for r, end in zip(rows.tolist(), ends.tolist(), strict=True):
+            out[r] = tuple(flat[start:end])
+            start = end
+    return out
+
+
+def best_flat(vocab: Vocabulary, scores: np.ndarray, words: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers of some words, the ids (int32) of their best segmentations one behind the other, and where each word's ids end."""
     for rows, batch in batches(vocab, words):
-        w = batch.weights(vocab, scores)
-        n, t, most = w.shape
-        alpha = np.full((n, t + 1), -np.inf)
-        alpha[:, 0] = 0.0
-        last = np.zeros((n, t + 1), np.int64)
+        w = batch.weights(vocab, scores, words_last=True)
+        t, most, n = w.shape
+        alpha = np.full((t + 1, n), -np.inf)
+        alpha[0] = 0.0
+        last = np.zeros((t + 1, n), np.int64)
         for j in range(1, t + 1):
-            back = np.arange(min(j, most), 0, -1)
-            terms = alpha[:, j - back] + w[:, j - back, back - 1]
-            pick = terms.argmax(axis=1)
-            alpha[:, j] = terms[np.arange(n), pick]
-            last[:, j] = back[pick]
-        raw = {(int(a), int(b)): r for a, b, r in zip(*batch.spelt, strict=True)}
+            m = min(j, most)
+            top, length = alpha[j], last[j]
+            for k in range(m, 0, -1):  # of equal ones the longest stays
+                got = alpha[j - k] + w[j - k, k - 1]
+                better = got > top
+                np.copyto(top, got, where=better)
+                np.copyto(length, k, where=better)
         at = batch.lengths.copy()
-        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         live = np.flatnonzero(at > 0)
         while len(live):
-            length = last[live, at[live]]
+            length = last[at[live], live]
             at[live] -= length
-            steps.append((live, batch.ids[live, at[live], length - 1]))
+            steps.append((live, at[live], batch.ids[live, at[live], length - 1]))
             live = live[at[live] > 0]
-        found: list[list[int]] = [[] for _ in range(n)]
-        where = batch.lengths.copy()
-        for who, ids in steps:
-            for r, p in zip(who.tolist(), ids.tolist(), strict=True):
-                if p == BYTES:
-                    where[r] -= 1
-                    found[r].extend(vocab.byte_ids[raw[r, int(where[r])]][::-1].tolist())
-                else:
-                    where[r] -= len(vocab.pieces[p])
-                    found[r].append(p)
-        for r, j in enumerate(rows):
-            out[j] = tuple(found[r][::-1])
-    return out
+        if not steps:
+            yield rows, np.zeros(0, np.int32), np.zeros(n, np.int64)
+            continue
+        who, start, ids = (np.concatenate(x[::-1]) for x in zip(*steps, strict=True))
+        order = np.argsort(who, kind="stable")
+        who, start, ids = who[order], start[order], ids[order]
+        size = np.ones(len(ids), np.int64)
+        spelt = np.flatnonzero(ids == BYTES)
+        if len(spelt):
+            raw = {(int(a), int(b)): r for a, b, r in zip(*batch.spelt, strict=True)}
+            parts = [vocab.byte_ids[raw[int(who[i]), int(start[i])]] for i in spelt]
+            size[spelt] = [len(x) for x in parts]
+            ids = np.repeat(ids, size)
+            ids[np.repeat(np.isin(np.arange(len(size)), spelt), size)] = np.concatenate(parts)
+        yield rows, ids.astype(np.int32), np.cumsum(np.bincount(who, size, n).astype(np.int64))

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
 The encoding of a text is its segmentation into vocabulary pieces with the largest summed score.
-A text no longer than CHUNK is encoded in one go. A longer one is cut into chunks of CHUNK
+A text no longer than CHUNK is encoded in one go, and so is one of up to WHOLE chunks that falls
+into words (see below), which need no states. Any longer one is cut into chunks of CHUNK
 characters. At a chunk's border the only state is how many of the next chunk's first
 characters the piece across the border has taken: 0 to the longest piece less one. Each chunk
 yields the matrix of best scores from entry state to exit state. Matrices combine by the
@@ -29,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidentia.llm.common import staged, table
-from evidentia.llm.lattice import BYTES, MODEL_FILE, SPACE, Batch, best, slices, vocabulary
+from evidentia.llm.lattice import BYTES, MODEL_FILE, SPACE, Batch, best, best_flat, slices, vocabulary
 
 #: Characters of a chunk, chunks whose matrices are combined in one task; words and their segmentations that a task remembers.
 CHUNK, BLOCK, MEMORY = 16_384, 64, 200_000
+#: Texts of so many chunks are encoded in one go as well, if they are cut into words none of which is longer than a text without chunks may be.
+WHOLE = 16
 #: Stands in the marked text for a space mark that the original holds: it is spelt by bytes.
 LITERAL = "￿"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -57,6 +60,9 @@ class Encoder:
         self._bytes = [p.replace(SPACE, " ").encode() for p in self.vocab.pieces]
         for b, i in enumerate(self.vocab.byte_ids):
             self._bytes[i] = bytes([b])
+        self._flat = np.frombuffer(b"".join(self._bytes), np.uint8)
+        self._sizes = np.array(list(map(len, self._bytes)), np.int64)
+        self._starts = np.cumsum(self._sizes) - self._sizes
 
     def words(self, text: str) -> list[str]:
         """Parts of a marked text between which no piece can lie."""
@@ -65,16 +71,28 @@ class Encoder:
     def learn(self, words: set[str], after: bool = False) -> None:
         """Segment words that aren't remembered yet, all at once; after: they follow a space mark that they come without."""
         held = self._after if after else self._known
-        new = sorted(words - held.keys())
+        new = list(words - held.keys())
         if len(held) + len(new) > MEMORY:
             held.clear()
-            new = sorted(words)
-        marked_ = [SPACE + w for w in new] if after else new
-        plain = [m for m in marked_ if LITERAL not in m]
-        found = dict(zip(plain, best(self.vocab, self.scores, plain), strict=True))
-        for w, m in zip(new, marked_, strict=True):
-            ids = found[m] if m in found else self._escaped(m)
-            held[w] = np.array(ids, np.int32).tobytes(), self._spelt(ids)
+            new = list(words)
+        plain = [w for w in new if LITERAL not in w]
+        for rows, ids, ends in best_flat(self.vocab, self.scores, [SPACE + w for w in plain] if after else plain):
+            raw, raw_ends = self._spelt_all(ids, ends)
+            ids_, start, raw_start = ids.tobytes(), 0, 0
+            for r, end, raw_end in zip(rows.tolist(), (4 * ends).tolist(), raw_ends.tolist(), strict=True):
+                held[plain[r]] = ids_[start:end], raw[raw_start:raw_end]
+                start, raw_start = end, raw_end
+        for w in new if len(plain) < len(new) else ():
+            if LITERAL in w:
+                ids = self._escaped(SPACE + w if after else w)
+                held[w] = np.array(ids, np.int32).tobytes(), self._spelt(ids)
+
+    def _spelt_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes that ids decode to, and where they end for ids that end at ends."""
+        size = self._sizes[ids]
+        stop = np.cumsum(size)
+        at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(self._starts[ids] - stop + size, size)
+        return self._flat[at].tobytes(), np.concatenate([[0], stop])[ends]
 
     def _spelt(self, ids: list[int] | tuple[int, ...]) -> bytes:
         return b"".join(map(self._bytes.__getitem__, ids))
@@ -213,6 +231,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     limit = chunk + chunk // 2
+    n = F.length("text")
+    one_go = n <= limit
+    if vocabulary(model.value).words_split:  # runs of spaces are part of a word; each run is looked at from its start alone
+        one_go |= (n <= WHOLE * chunk) & ~F.col("text").rlike(f"(?<![^ ])[^ ]{{{limit}}}|(?<! ) {{{limit}}}")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model.value)
@@ -222,8 +244,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int
                 yield _arrow(encoder, x.column(0).slice(part.start, part.stop - part.start), [len(t) for t in texts[part]], encoder.both(texts[part]))
 
     out = f"key {kind}, n_chars long, ids array<int>, score double, decoded_sha256 string"
-    short = rows.where(F.length("text") <= limit).mapInArrow(whole, out)
-    long = rows.where(F.length("text") > limit)
+    short = rows.where(one_go).mapInArrow(whole, out)
+    long = rows.where(~one_go)
     if long.isEmpty():
         return short.withColumnRenamed("key", key)
 

@@ -81,6 +81,32 @@ def test_chunked_documents_equal_unchunked(spark, monkeypatch):
     assert back == {i: t or "" for i, t in rows}
 
 
+def test_texts_that_fall_into_words_need_no_chunks(spark, monkeypatch):
+    """One way through a text of words, without transfer matrices; a text with a run too long for that goes by chunks, with the same score."""
+    held, real = [], sentencepiece_scan.staged
+    monkeypatch.setattr(sentencepiece_scan, "staged", lambda df, name: held.append(name) or real(df, name))
+    words = [(i, t) for i, t in enumerate(("word and other things, " * 40, "  ünï 漢字 🙂" * 30, f"x{SPACE}y {LITERAL}z " * 50, " a  b\n" * 100))]
+    runs = [(10, "ab" * 200 + " c" * 100), (11, "a" + " " * 300 + "b" * 90), (12, "x y" * 2000)]
+    for rows, chunks in ((words, False), (runs, True)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r["doc_id"]: r for r in encode(docs, chunk=64).collect()}
+        assert ("chunks" in held) is chunks
+        for r in encode(docs, chunk=1 << 20).collect():
+            mine = got[r["doc_id"]]
+            assert mine["score"] == pytest.approx(r["score"], abs=1e-6) and (mine["n_chars"], mine["decoded_sha256"]) == (r["n_chars"], r["decoded_sha256"])
+            assert chunks or mine["ids"] == r["ids"]
+            assert mine["decoded_sha256"] == hashlib.sha256(dict(rows)[r["doc_id"]].encode()).hexdigest()
+
+
+def test_words_learnt_together_equal_words_alone(encoder):
+    own = Encoder(MODEL)
+    words = ["", "the", "thereon", "ñ漢", "🙂🙂", "x" * 100, "\x00", f"{LITERAL}0a"]
+    own.learn(set(words), after=True)
+    for w in words:
+        ids, raw = own._after[w]
+        assert np.frombuffer(ids, np.int32).tolist() == encoder.encode_all([SPACE + w])[0].tolist() and raw == encoder._spelt(np.frombuffer(ids, np.int32).tolist())
+
+
 def test_digest(spark):
     docs = spark.createDataFrame([(1, "Größe", "extra"), (2, "", "x")], "doc_id long, text string, ids string")
     got = {r["doc_id"]: r for r in encoded_and_decoded(docs).collect()}
