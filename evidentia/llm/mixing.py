@@ -12,9 +12,11 @@ vector, so the rates are an expression of posteriors and the few vectors that th
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidentia.llm.common import bounded_sample, drop_staged, staged, table
@@ -101,21 +103,37 @@ def fit_classifier(labelled: DataFrame, domains: list[str]) -> tuple[list[float]
     return start, weights
 
 
+def slot_count(n: int) -> int:
+    """Slots for n words: most of the words that are looked up find an empty one."""
+    return 1 << (8 * n).bit_length()
+
+
+def word_slots(words: dict[str, list[float]]) -> Column:
+    """A literal array of slots, each an array of words (w) and their weights (v), by the words' xxhash64: a map's literal is searched from its start for every word."""
+    slots: list[list[dict]] = [[] for _ in range(slot_count(len(words)))]
+    for w, v in words.items():
+        slots[(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) & (len(slots) - 1))].append({"w": w, "v": v})
+    return F.from_json(F.lit(json.dumps(slots)), "array<array<struct<w:string,v:array<double>>>>")
+
+
 def with_posteriors(rows: DataFrame, start: list[float], weights: dict[str, list[float]]) -> DataFrame:
     """Adds p0, p1, .. over the domains to rows with _bins and _words. The features' table is a literal: its size is bounded by the sample it was fitted on.
 
     The log-weights are a column of their own, so they are summed once for each row.
     """
     row = lambda v: F.array(*[F.lit(x) for x in v])
-    if weights:
-        words = [k.removeprefix("word:") for k in weights if k.startswith("word:")]
-        known = F.array(*map(F.lit, words)).cast("array<string>")
-        held = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), row(v))])
-        found = F.concat("_bins", F.transform(F.array_intersect("_words", known), lambda w: F.concat(F.lit("word:"), w)))
+    add = lambda s, v: F.zip_with(s, v, lambda a, b: a + b)
+    logit = row(start)
+    bins = {k: v for k, v in weights.items() if not k.startswith("word:")}
+    if bins:
+        held = F.create_map(*[x for k, v in bins.items() for x in (F.lit(k), row(v))])
         none = row([0.0] * len(start))
-        logit = F.aggregate(found, row(start), lambda s, f: F.zip_with(s, F.coalesce(F.try_element_at(held, f), none), lambda a, b: a + b))
-    else:
-        logit = row(start)
+        logit = F.aggregate("_bins", logit, lambda s, f: add(s, F.coalesce(F.try_element_at(held, f), none)))
+    words = {k.removeprefix("word:"): v for k, v in weights.items() if k.startswith("word:")}
+    if words:
+        slots = word_slots(words)
+        slot = lambda w: slots[F.pmod(F.xxhash64(w), F.lit(slot_count(len(words)))).cast("int")]
+        logit = F.aggregate("_words", logit, lambda s, w: F.aggregate(slot(w), s, lambda t, e: F.when(e["w"] == w, add(t, e["v"])).otherwise(t)))
     rows = rows.withColumn("_logit", logit).withColumn("_most", F.array_max("_logit"))
     rows = rows.withColumns({f"p{i}": F.exp(F.col("_logit")[i] - F.col("_most")) for i in range(len(start))})
     total = reduce(lambda x, y: x + y, (F.col(f"p{i}") for i in range(len(start))))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evidentia.llm import mixing
 from evidentia.llm.mixing import fit_rates, mix, n_tokens, op10_mixing, with_features
 from evidentia.llm.neighbours import nearest, op1_neighbours
 
@@ -130,3 +131,24 @@ def test_features_are_those_of_the_whole_text(spark):
     # a whole text goes through one regular expression only
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(coalesce(text") == 1
+
+
+def test_posteriors_look_words_up_by_slots(spark):
+    """A word costs a look at its own slot, not a search of all words; unknown words, odd letters and quotes count as they should."""
+    rng = np.random.default_rng(6)
+    known = [f"w{i}" for i in range(1500)] + ["ünï", "漢字", 'q"uo\\te', "it's", "𝒳"]
+    weights = {f"word:{w}": rng.normal(size=3).tolist() for w in known} | {"capitals=3": [0.5, 0.25, -1.0]}
+    start = [0.1, -0.2, 0.3]
+    docs = [[], ["w1"], ["nothing", "w7", "w1499"], known, ["ünï", "漢字", 'q"uo\\te', "it's", "𝒳", "", "capitals=3"]]
+    bins = [["capitals=3", "digits=0"], [], ["capitals=3"], [], ["w1"]]
+    rows = spark.createDataFrame(list(enumerate(zip(bins, docs))), "id int, x struct<_bins:array<string>,_words:array<string>>").select("id", "x.*")
+    out = mixing.with_posteriors(rows, start, weights)
+    got = {r["id"]: [r[f"p{i}"] for i in range(3)] for r in out.collect()}
+    for i, (b, d) in enumerate(zip(bins, docs)):
+        logit = np.array(start) + sum([np.array(weights[k]) for k in [x for x in b if x in weights] + [f"word:{w}" for w in d if f"word:{w}" in weights]], np.zeros(3))
+        p = np.exp(logit - logit.max())
+        assert got[i] == pytest.approx((p / p.sum()).tolist(), abs=1e-12)
+    slots = spark.range(1).select(mixing.word_slots({k.removeprefix("word:"): v for k, v in weights.items() if k.startswith("word:")}).alias("s")).first()["s"]
+    assert sorted(e["w"] for s in slots for e in s) == sorted(known) and max(map(len, slots)) <= 5
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "word:" not in plan
