@@ -172,6 +172,11 @@ def _urn(alpha: float, log_p: float, k: int) -> float:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of every whole text, learned from the documents outside the held-out tenth."""
+    """Scores of every whole text, learned from the documents outside the held-out tenth.
+
+    score is the learned model's, score_documents' word_score; lattice_score is the lattice alone, which learns nothing but lengths.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", FOLDS) == 0).alias("held_out"))
-    return score_documents(docs)
+    got = score_documents(docs)
+    own = [c for c in got.columns if c not in ("score", "word_score")]
+    return got.select(*own, F.col("word_score").alias("score"), F.col("score").alias("lattice_score"))

@@ -72,3 +72,13 @@ def test_query_scores_every_document(spark, sf):
     got = op3_lm_scoring(spark, sf)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert got.count() == docs.count() and got.where("score IS NULL OR score > 0 OR held_out IS NULL").count() == 0
+
+
+def test_query_scores_held_out_rows_by_what_it_learned(spark, tmp_path):
+    """Held-out texts of training words: the lattice alone would be at twice the base score."""
+    words = "the quarterly revenue increased because customers ordered considerably more industrial equipment".split()
+    rows = [(i, " ".join(words[(i * 7 + j * j) % len(words)] for j in range(40))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_lm_scoring(spark, str(tmp_path)).where("held_out").collect()
+    assert len(got) > 20 and all(np.isfinite(r["score"]) and r["score"] > 1.1 * r["base_score"] for r in got)
+    assert all(r["lattice_score"] < 1.1 * r["base_score"] for r in got)
