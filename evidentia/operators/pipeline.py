@@ -47,7 +47,7 @@ def answer(questions: DataFrame, corpus: Corpus, top_k: int = TOP_K, abstain_bel
     decisions = L.route(asked.where("_known"), corpus.wordings, corpus.periods)
     told = L.answer(decisions, corpus.facts).select("query_id", "status", F.lit("ledger").alias("route"), "text", F.col("value").cast("string").alias("value"), "period", F.lit(None).cast(corpus.chunks.schema["chunk_id"].dataType).alias("chunk_id"), "confidence", "reason")
     rest = asked.where("_known").join(decisions.where("route = 'passage'").select("query_id", "reason"), "query_id")
-    hits = R.bm25(rest.select("query_id", "document_id", "text"), corpus.index, top_k, scoped=True).select("query_id", "rank", "chunk_id").join(corpus.chunks.select("chunk_id", "text"), "chunk_id")
+    hits = R.with_text(R.bm25(rest.select("query_id", "document_id", "text"), corpus.index, top_k, scoped=True), corpus.chunks)
     best = R.best_sentences(rest.select("query_id", "text"), hits)
     support = F.coalesce("support", F.lit(0.0))
     ok = support >= abstain_below

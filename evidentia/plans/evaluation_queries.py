@@ -83,12 +83,13 @@ def examples(spark: SparkSession, sf: str) -> DataFrame:
 EXAMPLES_SQL = f"WITH {FACTS_SQL}, g AS (SELECT document_id, concept, period FROM f GROUP BY ALL HAVING count(DISTINCT value) = 1) SELECT * FROM g ORDER BY md5(document_id || '|' || concept || '|' || period), document_id, concept, period LIMIT 40"
 
 
-def _hits(spark: SparkSession, sf: str, k1: float = R.K1, b: float = R.B) -> tuple[DataFrame, DataFrame]:
-    """Questions with their stratum, and hits: a document is relevant if it holds the passage's last sentence (or the passage)."""
+def _hits(spark: SparkSession, sf: str, *settings: tuple[float, float]) -> tuple[DataFrame, DataFrame]:
+    """Questions with their stratum, and hits under each (k1, b): a document is relevant if it holds the passage's last sentence (or the passage)."""
     c = corpus(spark, sf)
     p = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.element_at(T.sentences(F.col("text")), -1).alias("needle"), F.when(F.length("text") > 250, "long").otherwise("short").alias("stratum"))
-    hits = R.bm25(questions(spark, sf), R.index(c), 10, k1, b).select("query_id", "rank", "chunk_id").join(c.select("chunk_id", "text"), "chunk_id").join(p, "query_id")
-    return p, hits.select("query_id", "rank", F.contains("text", "needle").alias("relevant"))
+    hits = R.bm25_each(questions(spark, sf), R.index(c), list(settings), 10)
+    found = c.select("chunk_id", "text").join(F.broadcast(hits.select("setting", "query_id", "rank", "chunk_id").join(p, "query_id")), "chunk_id")
+    return p, found.select("setting", "query_id", "rank", F.contains("text", "needle").alias("relevant"))
 
 
 def _hits_sql(name: str, k1: float, b: float) -> str:
@@ -99,22 +100,26 @@ NEEDLE_SQL = r"nd AS (SELECT item_id AS query_id, string_split(regexp_replace(te
 HITS_SQL = f"WITH {DOCS_SQL}, {QUESTIONS_SQL}, {NEEDLE_SQL}, {_hits_sql('h', 1.5, 0.75)}, rk AS (SELECT query_id, min(rank) FILTER (relevant) AS hit_rank, list_sort(coalesce(list(rank) FILTER (relevant), [])) AS ranks FROM hr GROUP BY query_id)"
 
 
+def _ranks(spark: SparkSession, sf: str) -> DataFrame:
+    return E.hit_ranks(*_hits(spark, sf, (R.K1, R.B)))
+
+
 def hit_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    return E.hit_ranks(*_hits(spark, sf)).select("query_id", "stratum", F.col("hit_rank").cast("long").alias("hit_rank"), F.array_join("ranks", ",").alias("ranks"))
+    return _ranks(spark, sf).select("query_id", "stratum", F.col("hit_rank").cast("long").alias("hit_rank"), F.array_join("ranks", ",").alias("ranks"))
 
 
 RANKS_SQL = f"{HITS_SQL} SELECT nd.query_id, stratum, hit_rank, coalesce(array_to_string(ranks, ','), '') AS ranks FROM nd LEFT JOIN rk USING (query_id)"
 
 
 def hit_vector(spark: SparkSession, sf: str) -> DataFrame:
-    return E.hit_ranks(*_hits(spark, sf)).select("query_id", F.when(F.col("hit_rank") <= 5, 1.0).otherwise(0.0).alias("hit_at_5"))
+    return _ranks(spark, sf).select("query_id", F.when(F.col("hit_rank") <= 5, 1.0).otherwise(0.0).alias("hit_at_5"))
 
 
 VECTOR_SQL = f"{HITS_SQL} SELECT nd.query_id, CASE WHEN hit_rank <= 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit_at_5 FROM nd LEFT JOIN rk USING (query_id)"
 
 
 def retrieval_scores(spark: SparkSession, sf: str) -> DataFrame:
-    s = E.retrieval_scores(E.hit_ranks(*_hits(spark, sf)))
+    s = E.retrieval_scores(_ranks(spark, sf))
     return s.select("stratum", "questions", *[F.round(c, 9).alias(c) for c in s.columns[2:]])
 
 
@@ -125,9 +130,10 @@ SELECT stratum, questions, round(r1, 9) AS recall_at_1, round(r5, 9) AS recall_a
 
 def bootstrap_delta(spark: SparkSession, sf: str) -> DataFrame:
     """Hits at rank 1 of one BM25 setting against another, all resamples."""
-    first = E.hit_ranks(*_hits(spark, sf)).select("query_id", F.when(F.col("hit_rank") <= 1, 1.0).otherwise(0.0).alias("baseline"))
-    second = E.hit_ranks(*_hits(spark, sf, 0.5, 0.1)).select("query_id", F.when(F.col("hit_rank") <= 1, 1.0).otherwise(0.0).alias("candidate"))
-    d = E.paired_bootstrap(first.join(second, "query_id"))
+    p, hits = _hits(spark, sf, (R.K1, R.B), (0.5, 0.1))
+    found = hits.where("relevant AND rank <= 1").groupBy("query_id").agg(*[F.max(F.when(F.col("setting") == i, 1.0)).alias(c) for i, c in enumerate(("baseline", "candidate"))])
+    both = p.select("query_id").join(found, "query_id", "left").select("query_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("baseline", "candidate")])
+    d = E.paired_bootstrap(both)
     return d.select(*[F.round(c, 9).alias(c) for c in ("baseline", "candidate", "delta", "low", "high")], "n", "discordant", "significant")
 
 

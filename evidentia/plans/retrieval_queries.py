@@ -95,8 +95,7 @@ def _bm25_sql(text: str, k1: float, b: float, name: str, top: int, scope: str =
 
 
 def doc_frequencies(spark: SparkSession, sf: str) -> DataFrame:
-    p = R.index(corpus(spark, sf)).postings
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return R.frequencies(R.index(corpus(spark, sf)).tokens)
 
 
 FREQUENCIES_SQL = f"WITH {DOCS_SQL} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term"
@@ -145,8 +144,7 @@ def dense_scoped_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    held, q = R.index(corpus(spark, sf)), questions(spark, sf)
-    return R.fuse([R.bm25(q, held, R.DEPTH), R.bm25(q, held, R.DEPTH, k1=0.9, b=0.2)], TOP_K)
+    return R.fused(R.bm25_each(questions(spark, sf), R.index(corpus(spark, sf)), [(R.K1, R.B), (0.9, 0.2)], R.DEPTH), TOP_K)
 
 
 def rrf_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,7 +158,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 
 def _best(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     q, c = questions(spark, sf), corpus(spark, sf)
-    hits = R.bm25(q, R.index(c), 3).select("query_id", "rank", "chunk_id").join(c.select("chunk_id", "text"), "chunk_id")
+    hits = R.with_text(R.bm25(q, R.index(c), 3), c)
     return q, R.best_sentences(q, hits)
 
 
