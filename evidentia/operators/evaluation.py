@@ -51,15 +51,26 @@ def narrative_questions(pairs: DataFrame) -> DataFrame:
     return got.select(F.concat(F.col("document_id").cast("string"), F.lit(":nr:"), "fact_id").alias("question_id"), "document_id", "text", "n_gold")
 
 
+def _lacking(facts: DataFrame, declared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """document_id, concept of declared(concept, label) that a document does not tag, and document_id, label of the wordings of those that it tags."""
+    tagged = facts.select("document_id", "concept").distinct()
+    # what each document lacks: one row for each document and concept of the corpus, not for each label
+    lacking = tagged.select("document_id").distinct().join(declared.select("concept").distinct()).join(tagged, ["document_id", "concept"], "left_anti")
+    return lacking, tagged.join(declared.select("concept", "label").distinct(), "concept").select("document_id", "label").distinct()
+
+
+def foreign_wordings(labels: DataFrame, facts: DataFrame) -> DataFrame:
+    """document_id, concept, label of foreign_labels, without naming the other documents: a wording that many declare is one row."""
+    declared = labels.where("text <> ''").groupBy("concept", F.col("text").alias("label")).agg(F.min("document_id").alias("_first"), F.max("document_id").alias("_last"))
+    lacking, reachable = _lacking(facts, declared)
+    others = lacking.join(declared, "concept").where("_first <> document_id OR _last <> document_id")
+    return others.join(reachable, ["document_id", "label"], "left_anti").select("document_id", "concept", "label")
+
+
 def foreign_labels(labels: DataFrame, facts: DataFrame) -> DataFrame:
     """document_id, other, concept, label: labels that other documents declare for concepts that this one does not tag, worded as none of its own tagged concepts."""
-    tagged = facts.select("document_id", "concept").distinct()
-    documents = tagged.select("document_id").distinct()
     declared = labels.where("text <> ''").select("concept", F.col("document_id").alias("other"), F.col("text").alias("label"))
-    # what each document lacks: one row for each document and concept of the corpus, not for each label
-    concepts = declared.select("concept").distinct()
-    lacking = documents.join(concepts).join(tagged, ["document_id", "concept"], "left_anti")
-    reachable = tagged.join(declared.select("concept", "label").distinct(), "concept").select("document_id", "label").distinct()
+    lacking, reachable = _lacking(facts, declared)
     return lacking.join(declared, "concept").where("other <> document_id").join(reachable, ["document_id", "label"], "left_anti").select("document_id", "other", "concept", "label")
 
 
@@ -82,7 +93,7 @@ def cases(facts: DataFrame, labels: DataFrame, most: int = CASES) -> DataFrame:
     # years of periods with a start and an end; an instant is no business year
     known = facts.where("period LIKE '%/%'").select("document_id", F.explode(V.years_of(F.col("period"))).alias("y")).distinct()
     traps = sample(single, "key", "document_id", most // 2, "trap").withColumn("year", year.cast("string")).join(known.withColumnRenamed("y", "year"), ["document_id", "year"], "left_anti")
-    foreign = foreign_labels(labels, facts).select("document_id", F.concat_ws("|", "concept", "label").alias("key"), "label").distinct()
+    foreign = foreign_wordings(labels, facts).select("document_id", F.concat_ws("|", "concept", "label").alias("key"), "label").distinct()
     return (out(sample(single, "key", "document_id", most, "answer"), asked, "answer_from_ledger", F.col("value"), "answerable")
             .unionByName(out(traps, F.concat(F.lit("Wie hoch war "), "label", F.lit(" im Geschäftsjahr "), "year", F.lit("?")), "abstain", none, "wrong period"))
             .unionByName(out(sample(keys.where("n > 1"), "key", "document_id", most // 2, "ambiguous"), asked, "abstain", none, "ambiguous concept"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidentia.functions import text as T
 from evidentia.operators import evaluation as E, ledger as L, retrieval as R
-from evidentia.plans.ledger_queries import FACTS_SQL, PROSE_PAIRS_SQL, _reviewed, facts
+from evidentia.plans.ledger_queries import FACTS_SQL, PROSE_PAIRS_SQL, _reviewed, _tagged, facts
 from evidentia.plans.retrieval_queries import DOCS_SQL, QUESTIONS_SQL, _bm25_sql, corpus, questions
 from evidentia.plans.text_queries import sql_collapse
 from evidentia.sources.tables import table
@@ -22,7 +22,7 @@ def _pool(f: DataFrame) -> DataFrame:
 
 
 def questions_exact(spark: SparkSession, sf: str) -> DataFrame:
-    f = facts(spark, sf)
+    f = _tagged(spark, sf)
     return E.exact_questions(f, _own(f), _pool(f)).withColumn("value", F.col("value").cast("decimal(18,2)"))
 
 
@@ -56,7 +56,7 @@ SELECT ds.d AS document_id, l.d AS other, l.c AS concept, l.t AS label FROM ds J
 
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
-    f = facts(spark, sf)
+    f = _tagged(spark, sf)
     labels = _own(f).unionByName(f.where(F.length("concept") % 3 == 1).where("document_id % 2 = 0").select("document_id", "concept", F.col("concept").alias("text")).distinct())
     return E.cases(f, labels).withColumn("expected_value", F.col("expected_value").cast("decimal(18,2)"))
 
